@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist results)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, unless PYTHONPATH is set for them."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

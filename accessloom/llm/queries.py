@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import ship
+
 #: Module of each query's operator; the module's `query(spark, sf_dir)` applies it.
 MODULES = {
     "op1_simhash": "simhash",
@@ -24,6 +26,7 @@ MODULES = {
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         return importlib.import_module(f"{__package__}.{MODULES[name]}").query(spark, sf_dir)
 
     return run
