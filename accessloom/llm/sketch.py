@@ -25,7 +25,8 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
     """Hashes of all shingles of lower-cased words; a text of fewer words is one shingle, one of none has none."""
     words = F.transform(F.array_remove(F.split(F.lower(text), SPACE), ""), lambda w: F.xxhash64(w))
     each = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))
-    return F.when(F.size(words) > 0, each(words)).otherwise(F.array().cast("array<bigint>"))
+    # Bound as a lambda's variable, the words are computed once and not for every shingle.
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, each(w)).otherwise(F.array().cast("array<bigint>"))), 0)
 
 
 def bottom_k(hashes: Column, k: int = K) -> Column:
