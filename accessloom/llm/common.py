@@ -40,6 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more; it acts on the driver's garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes `df` once, into the shared folder, and goes on from those files.
 
@@ -53,6 +58,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """As `cut`, but as a Parquet table: columnar and compressed, for wider or larger intermediates."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
