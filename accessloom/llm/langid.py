@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Labelled documents per language (those whose hash comes first), and words per language, that are learned.
+#: Labelled documents per language (on average, by a hash of the text), and words per language, that are learned.
 DOCS, WORDS = 2000, 12_000
 #: Words whose phrase counts a worker remembers.
 MEMO = 400_000
@@ -129,10 +129,18 @@ def model_of(words: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     return Model(words)
 
 
-def training_words(labelled: DataFrame, docs: int = DOCS, words: int = WORDS, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """The commonest words of each language's first `docs` documents by hash; at most `words` for each language."""
-    some = Window.partitionBy(lang).orderBy(F.xxhash64(text), doc)
-    sample = labelled.select(doc, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= docs)
+def training_words(labelled: DataFrame, docs: int = DOCS, words: int = WORDS, text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """The commonest words of about `docs` labelled documents of each language; at most `words` for each.
+
+    Documents are taken whose hash lies below a level set by their language's number of documents, so texts
+    aren't shuffled; only words of the sample are.
+    """
+    usable = labelled.select(text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    levels = {r[0]: min(1.0, docs / r[1]) for r in usable.groupBy(lang).count().collect()}
+    if not levels:
+        return ()
+    level = F.element_at(F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]), F.col(lang))
+    sample = usable.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < level * (1 << 30))
     each = sample.select(lang, F.explode(F.expr(rf"regexp_extract_all(lower({text}), '\\p{{L}}+', 0)")).alias("word")).groupBy(lang, "word").count()
     top = each.withColumn("_n", F.row_number().over(Window.partitionBy(lang).orderBy(F.desc("count"), "word"))).where(F.col("_n") <= words)
     found: dict[str, list[str]] = {}
