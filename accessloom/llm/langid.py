@@ -88,7 +88,7 @@ class SuffixAutomaton:
 
 
 class Model:
-    """Automata of all languages, in the order of their names, and the memo of known words."""
+    """Automata of all languages, in the order given, and the memo of known words."""
 
     def __init__(self, words: tuple[tuple[str, tuple[str, ...]], ...]):
         self.names = [n for n, _ in words]
@@ -117,11 +117,11 @@ class Model:
         return [costs[r].sum(axis=0) if r else np.zeros(len(self.names) + 1, np.int64) for r in rows]
 
     def best(self, found: np.ndarray) -> tuple[str, float]:
-        """The language with the fewest phrases (ties: the first by name), and how far the next one is, from 0 to 1."""
+        """The language with the fewest phrases (ties: the first given), and how far the next one is, from 0 to 1."""
         if not found[0] or not self.names:
             return UNKNOWN, 0.0
-        order = sorted((int(n), name) for n, name in zip(found[1:], self.names, strict=True))
-        return order[0][1], 1.0 if len(order) == 1 else 1.0 - order[0][0] / order[1][0]
+        order = sorted((int(n), i) for i, n in enumerate(found[1:]))
+        return self.names[order[0][1]], 1.0 if len(order) == 1 else 1.0 - order[0][0] / order[1][0]
 
 
 @functools.lru_cache(maxsize=1)
@@ -130,7 +130,7 @@ def model_of(words: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
 
 
 def training_words(labelled: DataFrame, docs: int = DOCS, words: int = WORDS, text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """The commonest words of about `docs` labelled documents of each language; at most `words` for each.
+    """The commonest words of about `docs` labelled documents of each language; at most `words` for each. Commonest language first.
 
     Documents are taken whose hash lies below a level set by their language's number of documents, so texts
     aren't shuffled; only words of the sample are.
@@ -146,7 +146,7 @@ def training_words(labelled: DataFrame, docs: int = DOCS, words: int = WORDS, te
     found: dict[str, list[str]] = {}
     for row in top.orderBy(lang, "_n").select(lang, "word").collect():
         found.setdefault(row[0], []).append(row[1])
-    return tuple((k, tuple(v)) for k, v in sorted(found.items()))
+    return tuple((k, tuple(found.get(k, ()))) for k in sorted(levels, key=lambda k: (levels[k], k)))
 
 
 def identify(docs: DataFrame, words: tuple[tuple[str, tuple[str, ...]], ...], text: str = "text", keep: list[str] | None = None) -> DataFrame:

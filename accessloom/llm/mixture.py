@@ -23,6 +23,8 @@ from .common import WORD, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+#: Course of each weight over time as knots (t, factor), in the order of WEIGHTS; each averages 1, so targets follow the weights.
+SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 #: Hex digits of the order key by which each source's running sum is split: 16^3 buckets.
 DIGITS = 3
 
@@ -48,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epo
     ranked = ranked.withColumn("_caps", F.coalesce(F.sum("_cap").over(before), F.lit(0.0))).withColumn("_rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     ranked = ranked.withColumn("_level", (F.sum("source_size").over(everything) - F.col("_caps")) / F.col("_rest"))
     ranked = ranked.withColumn("_lam", F.min(F.when(F.col("_level") <= F.col("_fill"), F.struct("_fill", "_level"))).over(everything)["_level"])
-    return ranked.select("source", "weight", "source_size", F.least("_cap", F.col("weight") * F.coalesce("_lam", F.lit(float("inf")))).alias("target"))
+    return ranked.select("source", F.col("_rank").alias("source_rank"), "weight", "source_size", F.least("_cap", F.col("weight") * F.coalesce("_lam", F.lit(float("inf")))).alias("target"))
 
 
 def position(u: Column, target: Column, schedule: Column) -> Column:
@@ -73,13 +75,14 @@ def position(u: Column, target: Column, schedule: Column) -> Column:
     return F.coalesce(F.aggregate(segments, F.struct(F.lit(0.0).alias("done"), F.lit(None).cast("double").alias("at")), step, lambda acc: acc["at"]), F.lit(1.0))
 
 
-def flat() -> Column:
-    """The schedule of a constant weight."""
-    return F.array(*[F.struct(F.lit(t).alias("t"), F.lit(1.0).alias("w")) for t in (0.0, 1.0)])
+def schedule_of(rank: Column, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> Column:
+    """The knots (t, w) of the source of a given rank; schedules repeat as weights do."""
+    each = F.array(*[F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in knots]) for knots in schedules])
+    return F.get(each, (rank % len(schedules)).cast("int"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, size: Column | None = None) -> DataFrame:
-    """Adds size, source_size, target, taken and `_place` (words of the source's stream before the document).
+    """Adds size, source_rank, source_size, target, taken and `_place` (words of the source's stream before the document).
 
     `taken` counts the words of all the document's occurrences in the first `target` words of its source's
     stream: whole epochs plus, for one document of a source, the part up to the target. Nulls: a null text has
@@ -93,7 +96,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
     targets = source_targets(parts.groupBy("source").agg(F.sum("_part").alias("source_size")), weights, max_epochs)
     within = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("_s", "_b", F.coalesce(F.sum("_part").over(within), F.lit(0)).alias("_offset"))
-    targets = targets.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("_s"), "source_size", "target")
+    targets = targets.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("_s"), "source_rank", "source_size", "target")
     offsets = offsets.join(targets, "_s")
     before = Window.partitionBy("_s", "_b").orderBy("_h", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_run", F.coalesce(F.sum("size").over(before), F.lit(0))).join(offsets, ["_s", "_b"])
@@ -103,16 +106,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
     return placed.withColumn("taken", taken.cast("long")).drop("_h", "_b", "_s", "_part", "_offset", "_run")
 
 
-def occurrences(mixed: DataFrame, schedule: Column | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def occurrences(mixed: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per occurrence of a document in the mix, with `words_taken` and its training `position`.
 
     Sorted by position across ranges of partitions: reading the partitions in order gives the curriculum.
     """
-    schedule = flat() if schedule is None else schedule
     epochs = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.struct(e.alias("e"), F.least(F.greatest(F.round("target").cast("long") - F.col("source_size") * e - F.col("_place"), F.lit(0)), F.col("size")).alias("n")))
     each = mixed.withColumn("_e", F.explode(F.filter(epochs, lambda x: x["n"] > 0)))
-    each = each.withColumn("words_taken", F.col("_e.n")).withColumn("position", position((F.col("source_size") * F.col("_e.e") + F.col("_place")).cast("double"), F.col("target"), schedule)).drop("_e")
-    return each.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
+    at = (F.col("source_size") * F.col("_e.e") + F.col("_place")).cast("double")
+    each = each.withColumn("words_taken", F.col("_e.n")).withColumn("position", position(at, F.col("target"), schedule_of(F.col("source_rank"), schedules))).drop("_e")
+    return in_order(each, "position")
+
+
+def in_order(rows: DataFrame, by: str) -> DataFrame:
+    return rows.repartitionByRange(F.col(by), F.col("doc_id")).sortWithinPartitions(by, "doc_id")
 
 
 def mix_light(docs: DataFrame, **options) -> DataFrame:
@@ -121,8 +128,11 @@ def mix_light(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_light(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """One row per document; first_position is where its first word enters training, in parts of 10^9, -1 if it never does."""
+    mixed = mix_light(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    first = position(F.col("_place").cast("double"), F.col("target"), schedule_of(F.col("source_rank")))
+    mixed = mixed.withColumn("first_position", F.when(F.col("taken") > 0, F.floor(first * 1e9)).otherwise(F.lit(-1)))
+    return in_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position"), "first_position")
 
 
 ORACLE = r"""
@@ -132,10 +142,11 @@ w AS (SELECT *, CASE r % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE
 f AS (SELECT *, cap / weight AS fill FROM w),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM f WINDOW b AS (ORDER BY fill, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, least(cap, weight * (SELECT level FROM l WHERE level <= fill ORDER BY fill, level LIMIT 1)) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, [1.5, 1.0, 0.5][t.r % 3 + 1]::DOUBLE AS w0, [0.5, 1.0, 1.5][t.r % 3 + 1]::DOUBLE AS w1, CAST(round(t.target) AS BIGINT) AS goal,
   CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS place
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(least(greatest(goal - place, 0), size) + least(greatest(goal - source_size - place, 0), size) + least(greatest(goal - 2 * source_size - place, 0), size) AS BIGINT) AS taken
+  CAST(least(greatest(goal - place, 0), size) + least(greatest(goal - source_size - place, 0), size) + least(greatest(goal - 2 * source_size - place, 0), size) AS BIGINT) AS taken,
+  CASE WHEN goal > place AND size > 0 THEN CAST(floor(least(2 * (place / target) / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * (place / target))), 1) * 1e9) AS BIGINT) ELSE -1 END AS first_position
 FROM p
 """
