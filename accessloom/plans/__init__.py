@@ -1 +1 @@
-
+"""DuckDB counterparts of the registered queries."""

@@ -1 +1 @@
-
+"""Where logs come from and are kept."""
