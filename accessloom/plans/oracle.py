@@ -1 +1,170 @@
-def all_sql(settings): return {}
+"""DuckDB SQL of the registered queries, written from the rules and not from the Spark plans.
+
+Sliding windows are self-joins here, and slow brute force a recursive query, where the Spark side sweeps and folds.
+"""
+
+from __future__ import annotations
+
+from ..functions.geo import least_seconds
+from ..functions.values import EVENTS, LOCATIONS
+from ..operators.detectors import Params
+
+_TAGS = lambda column, values: f"coalesce(list_position({list(values)}, {column}), {len(values) + 1})"
+ORDER = "ts, usr_ord, dev_ord, app_ord, res_ord, ev_tag, loc_tag"
+
+LOG = f"""
+m AS (SELECT event_id AS pos, 'U' || user_id AS usr, 'D' || (user_id * 3 + event_id % 3) AS dev, 'APP' || (event_id % 12) AS app, 'R' || json_extract_string(props, '$.k') AS res,
+  CASE event_type WHEN 'signup' THEN 'LOGIN' WHEN 'error' THEN 'FAILED_LOGIN' WHEN 'view' THEN 'ACCESS' WHEN 'purchase' THEN 'DOWNLOAD'
+    ELSE ['LOGOUT', 'TOKEN_REFRESH', 'OPEN_APP', 'ADMIN_ACTION'][event_id % 4 + 1] END AS ev,
+  {list(LOCATIONS)}[(user_id + CASE WHEN event_id % 10 = 0 THEN event_id // 10 ELSE 0 END) % 15 + 1] AS loc, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events),
+g AS (SELECT usr, dev, app, res, ev, loc, ts, count(*) AS cnt FROM m GROUP BY ALL),
+log AS (SELECT g.*, uo.o AS usr_ord, dd.o AS dev_ord, ao.o AS app_ord, ro.o AS res_ord, {_TAGS("ev", EVENTS)} - 1 AS ev_tag, {_TAGS("loc", LOCATIONS)} - 1 AS loc_tag FROM g
+  JOIN (SELECT usr, min(pos) AS o FROM m GROUP BY usr) uo USING (usr) JOIN (SELECT dev, min(pos) AS o FROM m GROUP BY dev) dd USING (dev)
+  JOIN (SELECT app, min(pos) AS o FROM m GROUP BY app) ao USING (app) JOIN (SELECT res, min(pos) AS o FROM m GROUP BY res) ro USING (res)),
+u AS (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY {ORDER}) AS seq FROM log),
+d AS (SELECT *, row_number() OVER (PARTITION BY dev ORDER BY {ORDER}) AS seq FROM log),
+l AS (SELECT *, row_number() OVER (PARTITION BY loc ORDER BY {ORDER}) AS seq FROM log WHERE loc <> 'UNKNOWN')"""
+TOUCHING = "('ACCESS', 'DOWNLOAD', 'OPEN_APP', 'ADMIN_ACTION')"
+
+
+def _alerts(steps: str, evidence: str, meets: str) -> str:
+    """`steps` end in a CTE `a` of alerts (anchor columns, seq, c, lo); `evidence` names the rows e that `meets` selects."""
+    return f"""WITH RECURSIVE {LOG},
+{steps}
+SELECT a.usr AS "user", a.dev AS device, a.app AS app, a.res AS resource, a.loc AS location, a.ev AS event_type, a.ts AS anchor_ts,
+  CAST(least(a.ts, min(e.ts)) AS BIGINT) AS start_ts, CAST(greatest(a.ts, max(e.ts)) AS BIGINT) AS end_ts, CAST(a.c AS BIGINT) AS count, CAST(count(e.ts) AS BIGINT) AS n_records
+FROM a LEFT JOIN {evidence} e ON {meets}
+GROUP BY a.usr, a.dev, a.app, a.res, a.loc, a.ev, a.ts, a.c, a.seq, a.lo"""
+
+
+def _distinct(rows: str, key: str, value: str, p: Params) -> str:
+    return _alerts(
+        f"""r AS ({rows}),
+w AS (SELECT r.*, (SELECT count(DISTINCT b.{value}) FROM r b WHERE b.{key} = r.{key} AND b.seq <= r.seq AND b.ts >= r.ts - {p.windowSec}) AS c FROM r),
+x AS (SELECT *, lag(c) OVER (PARTITION BY {key} ORDER BY seq) AS before FROM w),
+a AS (SELECT *, 0 AS lo FROM x WHERE c > {p.n} AND coalesce(before, 0) <= {p.n})""",
+        "r",
+        f"e.{key} = a.{key} AND e.seq <= a.seq AND e.ts >= a.ts - {p.windowSec}",
+    )
+
+
+_STREAKS = """s AS (SELECT *, sum(CASE WHEN ev IN ('FAILED_LOGIN', 'TOKEN_REFRESH') THEN 0 ELSE 1 END) OVER (PARTITION BY usr ORDER BY seq) AS g FROM u),
+f AS (SELECT *, sum(cnt) OVER (PARTITION BY usr, g ORDER BY seq) AS run FROM s WHERE ev = 'FAILED_LOGIN')"""
+
+
+def _sql(kind: str, p: Params) -> str:
+    if kind == "A1":
+        return _distinct("SELECT * FROM u WHERE ev = 'LOGIN'", "usr", "dev", p)
+    if kind == "A3":
+        return _distinct(f"SELECT * FROM d WHERE ev IN {TOUCHING}", "dev", "res", p)
+    if kind == "A2":
+        steps = f"""{_STREAKS},
+a AS (SELECT *, run AS c, 0 AS lo FROM f WHERE run >= {p.n} AND run - cnt < {p.n})"""
+        return _alerts(steps, "f", "e.usr = a.usr AND e.g = a.g AND e.seq <= a.seq")
+    if kind == "B1":
+        steps = f"""{_STREAKS},
+t AS (SELECT usr, g, sum(cnt) AS total FROM f GROUP BY usr, g),
+a AS (SELECT s.*, coalesce(t.total, 0) AS c, 0 AS lo FROM s LEFT JOIN t ON t.usr = s.usr AND t.g = s.g - 1 WHERE s.ev = 'LOGIN' AND coalesce(t.total, 0) >= {p.n}),
+ev2 AS (SELECT usr, g AS g, seq, ts FROM f UNION ALL SELECT usr, g - 1, seq, ts FROM a)"""
+        return _alerts(steps, "ev2", "e.usr = a.usr AND e.g = a.g - 1 AND e.seq <= a.seq")
+    if kind == "A4":
+        from ..functions.geo import OFFSETS
+
+        offset = "CASE loc " + " ".join(f"WHEN '{k}' THEN {v * 60}" for k, v in OFFSETS.items()) + " ELSE 0 END"
+        outside = f"h < {p.startHour} OR h >= {p.endHour}" if p.startHour <= p.endHour else f"h < {p.startHour} AND h >= {p.endHour}"
+        steps = f"""h AS (SELECT *, (((ts + {offset}) % 86400 + 86400) % 86400) // 3600 AS h FROM u),
+a AS (SELECT *, h AS c, 0 AS lo FROM h WHERE {outside})"""
+        return _alerts(steps, "u", "e.usr = a.usr AND e.seq = a.seq")
+    if kind == "A5":
+        pairs = ", ".join(f"('{a}', '{b}', {s})" for (a, b), s in least_seconds().items())
+        steps = f"""travel(origin, target, sec) AS (VALUES {pairs}),
+k AS (SELECT *, lag(loc) OVER w AS origin, lag(ts) OVER w AS pts, lag(seq) OVER w AS lo FROM u WHERE loc <> 'UNKNOWN' WINDOW w AS (PARTITION BY usr ORDER BY seq)),
+a AS (SELECT k.*, ts - pts AS c FROM k JOIN travel ON k.origin = travel.origin AND k.loc = travel.target WHERE ts - pts < sec)"""
+        return _alerts(steps, "k", "e.usr = a.usr AND e.seq IN (a.lo, a.seq)")
+    if kind == "A6":
+        steps = f"""y AS (SELECT *, ts // 86400 AS day FROM u),
+k AS (SELECT *, CASE WHEN lag(loc) OVER (PARTITION BY usr, day ORDER BY seq) <> loc THEN 1 ELSE 0 END AS moved FROM y WHERE loc <> 'UNKNOWN'),
+n AS (SELECT *, sum(moved) OVER (PARTITION BY usr, day ORDER BY seq) AS c FROM k),
+a AS (SELECT *, 0 AS lo FROM n WHERE moved = 1 AND c = {p.n} + 1)"""
+        return _alerts(steps, "y", "e.usr = a.usr AND e.day = a.day AND e.seq <= a.seq")
+    if kind == "A7":
+        steps = f"""k AS (SELECT *, lag(ev) OVER w AS pev, lag(ts) OVER w AS pts, lag(seq) OVER w AS lo FROM u WHERE ev IN ('LOGIN', 'LOGOUT') WINDOW w AS (PARTITION BY usr ORDER BY seq)),
+a AS (SELECT *, ts - pts AS c FROM k WHERE ev = 'LOGOUT' AND pev = 'LOGIN' AND ts - pts > {p.sessionSec})"""
+        return _alerts(steps, "k", "e.usr = a.usr AND e.seq IN (a.lo, a.seq)")
+    if kind == "A8":
+        steps = f"""r AS (SELECT * FROM u WHERE ev = 'LOGIN'),
+w AS (SELECT r.*, (SELECT sum(b.cnt) FROM r b WHERE b.usr = r.usr AND b.seq <= r.seq AND b.ts >= r.ts - {p.windowSec}) AS c FROM r),
+x AS (SELECT *, lag(c) OVER (PARTITION BY usr ORDER BY seq) AS before FROM w),
+a AS (SELECT *, 0 AS lo FROM x WHERE c >= {p.n} AND (before IS NULL OR before < {p.n}))"""
+        return _alerts(steps, "r", f"e.usr = a.usr AND e.seq <= a.seq AND e.ts >= a.ts - {p.windowSec}")
+    if kind == "A9":
+        steps = f"""s AS (SELECT *, sum(CASE WHEN ev IN ('LOGIN', 'LOGOUT') THEN 1 ELSE 0 END) OVER (PARTITION BY usr ORDER BY seq) AS part,
+  sum(CASE WHEN ev IN ('DOWNLOAD', 'TOKEN_REFRESH') THEN 0 ELSE 1 END) OVER (PARTITION BY usr ORDER BY seq) AS g FROM u),
+o AS (SELECT usr, part, min(seq) AS opened, min(CASE WHEN ev = 'ADMIN_ACTION' THEN seq END) AS admin FROM s GROUP BY usr, part),
+q AS (SELECT s.* FROM s JOIN o ON s.usr = o.usr AND s.part = o.part JOIN s f ON f.usr = o.usr AND f.seq = o.opened WHERE f.ev = 'LOGIN' AND s.seq >= o.admin),
+r AS (SELECT *, sum(cnt) OVER (PARTITION BY usr, g ORDER BY seq) AS c FROM q WHERE ev = 'DOWNLOAD'),
+a AS (SELECT *, 0 AS lo FROM r WHERE c >= {p.n} AND c - cnt < {p.n})"""
+        return _alerts(steps, "q", "e.usr = a.usr AND e.g = a.g AND e.seq <= a.seq AND e.ev IN ('DOWNLOAD', 'ADMIN_ACTION')")
+    if kind == "B2":
+        steps = f"""k AS (SELECT *, lag(ts) OVER (PARTITION BY usr ORDER BY seq) AS pts FROM u),
+b AS (SELECT u.*, k.seq - 1 AS lo, sum(u.cnt) OVER (PARTITION BY k.usr, k.seq ORDER BY u.seq) AS c FROM k JOIN u ON u.usr = k.usr AND u.seq >= k.seq AND u.ts <= k.ts + {p.burstSec} WHERE k.ts >= k.pts + {p.silenceSec}),
+a AS (SELECT * FROM b WHERE c > {p.n} AND c - cnt <= {p.n})"""
+        return _alerts(steps, "u", "e.usr = a.usr AND e.seq BETWEEN a.lo AND a.seq")
+    if kind == "C4":
+        steps = f"""r AS (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY seq) AS n FROM u WHERE ev = 'FAILED_LOGIN'),
+q AS (SELECT usr, n, ts, [{{'ts': ts, 'seq': seq}}] AS w, 1 >= {p.n} AS rep, 1 >= {p.n} AS fire FROM r WHERE n = 1
+  UNION ALL
+  SELECT usr, n, ts, w2, (rep AND len(kept) >= {p.n}) OR len(w2) >= {p.n}, NOT (rep AND len(kept) >= {p.n}) AND len(w2) >= {p.n} FROM (
+    SELECT *, CASE WHEN len(kept) = 0 OR ts >= kept[len(kept)].ts + {p.minSpacingSec} THEN list_append(kept, {{'ts': ts, 'seq': seq}}) ELSE kept END AS w2 FROM (
+      SELECT r.usr, r.n, r.ts, r.seq, q.rep, list_filter(q.w, lambda y: y.ts + {p.windowSec} >= r.ts) AS kept FROM q JOIN r ON r.usr = q.usr AND r.n = q.n + 1))),
+a AS (SELECT r.*, len(q.w) AS c, q.w[1].seq AS lo, list_transform(q.w, lambda y: y.seq) AS only FROM q JOIN r ON r.usr = q.usr AND r.n = q.n WHERE q.fire)"""
+        return _alerts(steps, "r", "e.usr = a.usr AND list_contains(a.only, e.seq)")
+    if kind == "D2":
+        steps = f"""b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY usr ORDER BY seq) < {p.minGapSec} THEN 0 ELSE 1 END AS brk FROM u),
+isl AS (SELECT *, sum(brk) OVER (PARTITION BY usr ORDER BY seq) AS isle FROM b),
+n AS (SELECT *, sum(cnt - brk) OVER (PARTITION BY usr, isle ORDER BY seq) AS c FROM isl),
+x AS (SELECT *, lag(c) OVER (PARTITION BY usr, isle ORDER BY seq) AS before FROM n),
+a AS (SELECT *, 0 AS lo FROM x WHERE c >= {p.n} AND (before IS NULL OR before < {p.n}))"""
+        return _alerts(steps, "isl", "e.usr = a.usr AND e.isle = a.isle AND e.seq <= a.seq")
+    if kind == "D8":
+        steps = f"""y AS (SELECT *, ts // 86400 AS day, ts - lag(ts) OVER (PARTITION BY usr, ts // 86400 ORDER BY seq) AS gap FROM u),
+t AS (SELECT usr, day, max(seq) AS seq, sum(cnt) AS c, CAST(sum(cnt) - 1 AS HUGEINT) AS k, CAST(coalesce(sum(gap), 0) AS HUGEINT) AS s1, coalesce(sum(CAST(gap AS HUGEINT) * gap), 0) AS s2 FROM y GROUP BY usr, day),
+a AS (SELECT y.*, t.c, 0 AS lo FROM t JOIN y ON y.usr = t.usr AND y.seq = t.seq WHERE c >= {p.minEvents} AND k >= 2 AND s1 > 0 AND (k * s2 - s1 * s1) * 10000 <= {p.maxCvPercent**2} * s1 * s1)"""
+        return _alerts(steps, "y", "e.usr = a.usr AND e.day = a.day")
+    if kind == "D10":
+        steps = f"""w AS (SELECT l.*, (SELECT sum(b.cnt) FROM l b WHERE b.loc = l.loc AND b.seq <= l.seq AND b.ts BETWEEN l.ts - {p.windowSec} AND l.ts) AS total,
+  (SELECT coalesce(sum(b.cnt), 0) FROM l b WHERE b.loc = l.loc AND b.seq <= l.seq AND b.ts BETWEEN l.ts - {p.windowSec} AND l.ts AND b.ev = 'FAILED_LOGIN') AS c FROM l),
+x AS (SELECT *, total >= {p.minEvents} AND c * 100 >= total * {p.failureRatioPercent} AS bad FROM w),
+z AS (SELECT *, lag(bad) OVER (PARTITION BY loc ORDER BY seq) AS before FROM x),
+a AS (SELECT *, 0 AS lo FROM z WHERE bad AND NOT coalesce(before, false))"""
+        return _alerts(steps, "l", f"e.loc = a.loc AND e.seq <= a.seq AND e.ts >= a.ts - {p.windowSec}")
+    if kind == "D11":
+        percent = min(max(p.coveragePercent, 1), 100)
+        steps = f"""t AS (SELECT n, least(greatest(CAST(ceil(n * {percent} / 100.0) AS BIGINT), 2), n) AS need FROM (SELECT count(DISTINCT res) AS n FROM log)),
+k AS (SELECT *, CASE WHEN regexp_full_match(res, 'R[0-9]+') THEN CAST(substr(res, 2) AS HUGEINT) END AS num FROM d WHERE ev IN {TOUCHING}),
+b AS (SELECT *, CASE WHEN num = lag(num) OVER (PARTITION BY dev ORDER BY seq) + 1 THEN 0 ELSE 1 END AS brk FROM k),
+isl AS (SELECT *, sum(brk) OVER (PARTITION BY dev ORDER BY seq) AS isle FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY dev, isle ORDER BY seq) AS c FROM isl WHERE num IS NOT NULL),
+a AS (SELECT r.*, 0 AS lo FROM r, t WHERE t.n >= 2 AND r.c = t.need)"""
+        return _alerts(steps, "r", "e.dev = a.dev AND e.isle = a.isle AND e.seq <= a.seq")
+    steps = f"""s AS (SELECT *, sum(CASE WHEN ev = 'LOGIN' THEN 1 ELSE 0 END) OVER (PARTITION BY usr ORDER BY seq) AS part FROM u),
+o AS (SELECT usr, part, min(ts) AS began, min(seq) FILTER (WHERE ev = 'LOGOUT') AS out FROM s WHERE part > 0 GROUP BY usr, part),
+i AS (SELECT s.*, o.began, o.out FROM s JOIN o ON s.usr = o.usr AND s.part = o.part AND s.seq <= o.out),
+q AS (SELECT usr, part FROM i GROUP BY usr, part HAVING max(CASE WHEN seq = out THEN ts END) - min(began) <= {p.maxDurationSec} AND max(CASE WHEN ev IN ('ACCESS', 'DOWNLOAD') THEN 1 ELSE 0 END) = 1),
+r AS (SELECT i.* FROM i JOIN q ON i.usr = q.usr AND i.part = q.part),
+t AS (SELECT usr, count(DISTINCT part) AS c, max(seq) AS seq FROM r GROUP BY usr),
+a AS (SELECT r.*, t.c, 0 AS lo FROM r JOIN t ON r.usr = t.usr AND r.seq = t.seq WHERE t.c > {p.n})"""
+    return _alerts(steps, "r", "e.usr = a.usr")
+
+
+def all_sql(settings: dict[str, dict[str, int]]) -> dict[str, str]:
+    row = 'SELECT ts AS "timestamp", usr AS "user", dev AS device, app, res AS resource, ev AS event_type, loc AS location, cnt AS count FROM log'
+    found = {
+        "q1_user_journey": f"WITH {LOG} {row} WHERE usr = 'U3'",
+        "q2_resource_access": f"WITH {LOG} {row} WHERE res = 'R26'",
+        "q3_top_resources": f"WITH {LOG} SELECT res AS resource, CAST(sum(cnt) AS BIGINT) AS count, max(ts) AS last_ts FROM log WHERE ev IN {TOUCHING} GROUP BY res, res_ord ORDER BY 2 DESC, 3 DESC, res_ord LIMIT 10",
+        "q4_stats": f"WITH {LOG} SELECT count(DISTINCT usr) AS users, count(DISTINCT dev) AS devices, count(DISTINCT app) AS apps, count(DISTINCT res) AS resources, count(*) AS records, CAST(sum(cnt) AS BIGINT) AS accepted FROM log",
+        "s8_clean_log": f"""WITH {LOG} SELECT usr AS "user", dev AS device, app, res AS resource, ev AS event_type, loc AS location, ts AS "timestamp", cnt,
+  usr_ord AS user_ord, dev_ord AS device_ord, app_ord, res_ord AS resource_ord, CAST(ev_tag AS TINYINT) AS event_tag, CAST(loc_tag AS TINYINT) AS loc_tag FROM log""",
+    }
+    return found | {f"{k.lower()}_alerts": _sql(k, Params.of(**v)) for k, v in settings.items()}
