@@ -55,7 +55,8 @@ SEVERITY = {
     "B1": "critical", "B2": "high", "C4": "high", "D2": "high", "D8": "medium", "D10": "critical", "D11": "critical", "E1": "high",
 }
 
-NONE = F.lit(None).cast("long")
+def _none() -> Column:
+    return F.lit(None).cast("long")
 
 
 def _is(*events: str) -> Column:
@@ -75,7 +76,7 @@ def _keyed(rows: DataFrame, key: str, grp: Column | None = None) -> DataFrame:
 
 
 def _bounded(rows: DataFrame, count: Column, lo_seq: Column | None = None, lo_ts: Column | None = None) -> DataFrame:
-    return rows.withColumn("count", count.cast("long")).withColumn("lo_seq", NONE if lo_seq is None else lo_seq).withColumn("lo_ts", NONE if lo_ts is None else lo_ts).withColumn("hi_seq", F.col("seq"))
+    return rows.withColumn("count", count.cast("long")).withColumn("lo_seq", _none() if lo_seq is None else lo_seq).withColumn("lo_ts", _none() if lo_ts is None else lo_ts).withColumn("hi_seq", F.col("seq"))
 
 
 def _many_distinct(recs: DataFrame, key: str, value: str, which: Column, p: Params) -> Found:
@@ -117,7 +118,7 @@ def off_hours(recs: DataFrame, p: Params) -> Found:
     """Every row outside the working hours of its location; no window, so rows stay where they are."""
     hour = local_hour(F.col("timestamp"), F.col("location"))
     outside = (hour < p.startHour) | (hour >= p.endHour) if p.startHour <= p.endHour else (hour < p.startHour) & (hour >= p.endHour)
-    rows = recs.where(outside).withColumn("seq", NONE)
+    rows = recs.where(outside).withColumn("seq", _none())
     return Found(_bounded(_keyed(rows, "user"), hour), None)
 
 
