@@ -90,6 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
     text, and rows equal in all of these may swap places, which leaves the result the same. An empty table gives
     no rows. Columns of `docs` other than those added here pass through.
     """
+    docs = docs.drop("source_rank", "source_size", "target", "taken", "_place")
     sized = docs.withColumn("size", words() if size is None else size).withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     sized = sized.withColumn("_b", F.substring("_h", 1, DIGITS)).withColumn("_s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
     parts = sized.groupBy("source", "_s", "_b").agg(F.sum("size").alias("_part"))
