@@ -142,11 +142,12 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
     distinct = written(hashed.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.first("halves").alias("halves")), "distinct-lines")
     dropped = cut(near_lines(keyed, distinct, least))
     kept = distinct.join(dropped, ["h1", "h2"], "left_anti").select("first.*")
-    kept = written(kept.groupBy("doc", "text_hash").agg(F.collect_list("line").alias("_kept_")), "kept-lines")
+    kept = kept.groupBy(F.col("doc").alias("_of_"), F.col("text_hash").alias("_in_")).agg(F.collect_list("line").alias("_kept_"))
+    kept = written(kept, "kept-lines")
     names = base.columns
     at = names.index(text)
     whole = base.withColumn("_hash_", F.xxhash64(text))
-    joined = whole.join(kept.hint("shuffle_hash"), F.col(doc).cast("long").eqNullSafe(kept["doc"]) & (whole["_hash_"] == kept["text_hash"]), "left").select(*(F.col(f"`{c}`") for c in names), "_kept_")
+    joined = whole.join(kept.hint("shuffle_hash"), F.col(doc).cast("long").eqNullSafe(F.col("_of_")) & (F.col("_hash_") == F.col("_in_")), "left").select(*(F.col(f"`{c}`") for c in names), "_kept_")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "n_lines int, n_dropped int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import pytest
 
 from accessloom.llm.common import ship
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, bytes string, target string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, doc string, target string"
 
 
 def prose(r: random.Random, n: int) -> str:
