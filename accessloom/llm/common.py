@@ -55,9 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """As `cut`, but as a Parquet table: columnar and compressed, for wider or larger intermediates."""
+    """As `cut`, but as a Parquet table: columnar and compressed, for wider or larger intermediates.
+
+    The table stays until the application ends, since results may be read from it at any time before.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(folder)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
