@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Labelled documents per language (on average, by a hash of the text), and words per language, that are learned.
+#: Labelled documents per language (on average, by a hash), and words per language, that are learned.
 DOCS, WORDS = 2000, 12_000
 #: Words whose phrase counts a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -97,14 +98,14 @@ class Model:
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.costs: list[list[int]] = []
+        self.costs = array("q")
 
     def learn(self, token: str) -> int:
         """Row of a token's costs: its letters, then its phrases for each language."""
         words = LETTERS.findall(token)
-        self.costs.append([sum(map(len, words)), *(sum(map(a.phrases, words)) for a in self.automata)])
-        self.memo[token] = len(self.costs) - 1
-        return len(self.costs) - 1
+        row = self.memo[token] = len(self.memo)
+        self.costs.extend([sum(map(len, words)), *(sum(map(a.phrases, words)) for a in self.automata)])
+        return row
 
     def parse(self, texts: list[str]) -> list[np.ndarray]:
         """Letters and phrases of whole texts."""
@@ -113,7 +114,7 @@ class Model:
         rows, get = [], self.memo.get
         for text in texts:
             rows.append([r if (r := get(w)) is not None else self.learn(w) for w in text.lower().split()])
-        costs = np.array(self.costs or [[0] * (len(self.names) + 1)], dtype=np.int64)
+        costs = np.array(self.costs, dtype=np.int64).reshape(-1, len(self.names) + 1)
         return [costs[r].sum(axis=0) if r else np.zeros(len(self.names) + 1, np.int64) for r in rows]
 
     def best(self, found: np.ndarray) -> tuple[str, float]:
@@ -129,18 +130,18 @@ def model_of(words: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     return Model(words)
 
 
-def training_words(labelled: DataFrame, docs: int = DOCS, words: int = WORDS, text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
+def training_words(labelled: DataFrame, docs: int = DOCS, words: int = WORDS, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
     """The commonest words of about `docs` labelled documents of each language; at most `words` for each. Commonest language first.
 
-    Documents are taken whose hash lies below a level set by their language's number of documents, so texts
-    aren't shuffled; only words of the sample are.
+    Documents are taken whose hash (of id and text, so that copies of one text don't come or go together) lies below a
+    level set by their language's number of documents. Texts aren't shuffled; only words of the sample are.
     """
-    usable = labelled.select(text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    usable = labelled.select(doc, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     levels = {r[0]: min(1.0, docs / r[1]) for r in usable.groupBy(lang).count().collect()}
     if not levels:
         return ()
     level = F.element_at(F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]), F.col(lang))
-    sample = usable.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < level * (1 << 30))
+    sample = usable.where(F.pmod(F.xxhash64(doc, text), F.lit(1 << 30)) < level * (1 << 30))
     each = sample.select(lang, F.explode(F.expr(rf"regexp_extract_all(lower({text}), '\\p{{L}}+', 0)")).alias("word")).groupBy(lang, "word").count()
     top = each.withColumn("_n", F.row_number().over(Window.partitionBy(lang).orderBy(F.desc("count"), "word"))).where(F.col("_n") <= words)
     found: dict[str, list[str]] = {}
