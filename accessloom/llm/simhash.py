@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .common import table, written
 from .components import components
-from .groups import least_linked, run_bounds, whole_runs
+from .groups import least_linked, run_bounds, runs_and_crowds
 
 BYTES, DISTANCE = 8, 4
 WIDTH, SEED = 4, 42
@@ -87,25 +87,31 @@ def _tallied(fps: np.ndarray, need: int, distance: int) -> np.ndarray:
     return linked
 
 
-def _verified(batches: Iterator[pa.RecordBatch], need: int, distance: int) -> Iterator[pa.RecordBatch]:
-    """Spanning edges (a, b) of each list's links."""
-    for rows in whole_runs(batches):
+def _verified(batches: Iterator[pa.RecordBatch], need: int, distance: int, largest: int) -> Iterator[pa.RecordBatch]:
+    """Spanning edges (a, b) of each list's links; members of lists beyond `largest` come with b null."""
+    for rows, crowd in runs_and_crowds(batches, 0, largest):
         keys, fps = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
         starts, lengths = run_bounds(keys)
-        a, b = [], []
-        two = starts[lengths == 2]
-        differing = fps[two] ^ fps[two + 1]
-        tally = (differing.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-        near = (tally >= need) & (np.bitwise_count(differing) <= distance)
-        a.append(fps[two[near]])
-        b.append(fps[two[near] + 1])
-        for start, length in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
-            members = fps[start : start + length]
-            first = least_linked(_tallied(members, need, distance))
-            linked = first != np.arange(length)
-            a.append(members[linked])
-            b.append(members[first[linked]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+        a, b, crowded = [], [], [fps] if crowd else []
+        if not crowd:
+            two = starts[lengths == 2]
+            differing = fps[two] ^ fps[two + 1]
+            tally = (differing.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+            near = (tally >= need) & (np.bitwise_count(differing) <= distance)
+            a.append(fps[two[near]])
+            b.append(fps[two[near] + 1])
+            for start, length in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
+                members = fps[start : start + length]
+                if length > largest:
+                    crowded.append(members)
+                    continue
+                first = least_linked(_tallied(members, need, distance))
+                linked = first != np.arange(length)
+                a.append(members[linked])
+                b.append(members[first[linked]])
+        ones, others = (np.concatenate([*x, np.zeros(0, np.uint64)]).view(np.int64) for x in (a, b))
+        alone = np.concatenate([*crowded, np.zeros(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ones, alone])), pa.concat_arrays([pa.array(others), pa.nulls(len(alone), pa.int64())])], names=["a", "b"])
 
 
 def _around(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -124,15 +130,15 @@ def links(distinct: DataFrame, distance: int = DISTANCE, largest: int = LIST) ->
     need = BYTES - distance
     if need < 1:
         raise ValueError("the index needs a positional byte that all links share")
-    postings = distinct.select("fp").mapInArrow(lambda b: _postings(b, need), "list long, fp long")
-    sizes = cut(postings.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    shared = written(postings.join(sizes, "list"), "postings")
-    small = shared.where(F.col("n") <= largest).select("list", "fp").repartition("list").sortWithinPartitions("list", "fp")
-    edges = small.mapInArrow(lambda b: _verified(b, need, distance), "a long, b long").distinct()
-    crowded = shared.where(F.col("n") > largest).select("fp").distinct()
+    # Each fingerprint becomes many postings, so these are dealt by a number that isn't set by the fingerprints' few bytes.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = distinct.select("fp").repartition(parts).mapInArrow(lambda b: _postings(b, need), "list long, fp long")
+    sorted_lists = postings.repartition(parts, "list").sortWithinPartitions("list", "fp")
+    met = written(sorted_lists.mapInArrow(lambda b: _verified(b, need, distance, largest), "a long, b long").distinct(), "met")
+    edges, crowded = met.where(F.col("b").isNotNull()), met.where(F.col("b").isNull()).select(F.col("a").alias("fp"))
     if not crowded.isEmpty():
         # Two values within half the distance of a third are within the distance of each other: no check is left to do.
-        near = crowded.repartition().mapInArrow(lambda b: _around(b, distance // 2), "near long, fp long")
+        near = crowded.repartition(parts).mapInArrow(lambda b: _around(b, distance // 2), "near long, fp long")
         centre = near.groupBy("near").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a != most")
         edges = edges.union(near.join(centre, "near").where("fp != a").select("a", F.col("fp").alias("b")).distinct())
     return edges
