@@ -61,23 +61,37 @@ def directory(rows: DataFrame, limit: int, total: int) -> DataFrame:
     return out
 
 
+def _marked(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    return docs.withColumns({"bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "_h": F.xxhash64(doc, text), "_at": F.monotonically_increasing_id()})
+
+
+def _placed(rows: DataFrame, marks: DataFrame, limit: int) -> DataFrame:
+    """Rows with shard, depth and shard_bytes, by the directory of `marks` (the same rows, narrow, at a cut point)."""
+    fitting = marks.where(F.col("bytes") <= limit)
+    shards = cut(directory(fitting, limit, fitting.agg(F.sum("bytes")).head()[0] or 0)).select("shard", "depth", "shard_bytes")
+    depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]
+    rows = rows.withColumn("_path", _path())
+    tries = F.array(*[_prefix(d) for d in depths]) if depths else F.array(F.lit(""))
+    small = rows.where(F.col("bytes") <= limit).withColumn("shard", F.explode(tries)).join(shards, "shard")
+    alone = rows.where(F.col("bytes") > limit).withColumns({"shard": F.concat(F.lit("alone-"), "_path"), "depth": F.lit(BITS), "shard_bytes": F.col("bytes")})
+    return small.unionByName(alone).drop("_path", "_h", "_at")
+
+
 def shard(docs: DataFrame, limit: int = LIMIT, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds bytes, shard (the hash prefix), depth and shard_bytes to every row's doc_id; one row per input row.
+    """(doc_id, bytes, shard, depth, shard_bytes): the shard (a hash prefix) of every row; one row per input row.
 
     Nulls: a null text has no bytes; null doc_ids hash by their text. Repeated rows may part ways, which leaves the
-    shards' sizes as they are. An empty table gives no rows. Other columns aren't returned: join or `write` for those.
+    shards' sizes as they are. An empty table gives no rows. Other columns aren't returned; `write` keeps them.
     """
-    rows = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.xxhash64(doc, text).alias("_h"), F.monotonically_increasing_id().alias("_at"))
-    rows = cut(rows)
-    total = rows.where(F.col("bytes") <= limit).agg(F.sum("bytes")).head()[0] or 0
-    small = rows.where(F.col("bytes") <= limit)
-    shards = cut(directory(small, limit, total))
-    depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]
-    placed = small.withColumn("_path", _path())
-    tries = F.array(*[_prefix(d) for d in depths]) if depths else F.array(F.lit(""))
-    placed = placed.withColumn("shard", F.explode(tries)).join(shards, "shard").select("doc_id", "bytes", "shard", "depth", "shard_bytes")
-    alone = rows.where(F.col("bytes") > limit).withColumn("_path", _path())
-    return placed.union(alone.select("doc_id", "bytes", F.concat(F.lit("alone-"), "_path"), F.lit(BITS), F.col("bytes")))
+    marks = cut(_marked(docs, doc, text).select(F.col(doc).alias("doc_id"), "bytes", "_h", "_at"))
+    return _placed(marks, marks, limit).select("doc_id", "bytes", "shard", "depth", "shard_bytes")
+
+
+def write(docs: DataFrame, path: str, limit: int = LIMIT, doc: str = "doc_id", text: str = "text") -> None:
+    """Writes every row with all its columns into its shard's folder, each by one task: none is larger than the limit."""
+    whole = _marked(docs.drop("bytes", "shard", "depth", "shard_bytes"), doc, text)
+    marks = cut(whole.select("bytes", "_h", "_at"))
+    _placed(whole, marks, limit).drop("bytes", "depth", "shard_bytes").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,6 +225,14 @@ def test_shards(docs, none, texts):
     assert sharding.shard(none).count() == 0
 
 
+def test_shards_are_written_whole(spark, docs, texts, tmp_path):
+    sharding.write(docs, f"{tmp_path}/out", 5000)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(repr, back.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("k")).collect()
+    assert len(sizes) > 2 and all(x.n is None or x.n <= 5000 or x.k == 1 for x in sizes)
+
+
 def test_shards_of_one_repeated_row(spark, docs):
     rows = spark.createDataFrame([(1, "abcdefghij", None, None, 0, "", "")] * 300, docs.schema)
     got = sharding.shard(rows, 500).collect()
