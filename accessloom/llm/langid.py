@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Labelled documents per language (on average, by a hash), and words per language, that are learned.
-DOCS, WORDS = 2000, 12_000
+DOCS, WORDS = 2000, 8_000
 #: Words whose phrase counts a worker remembers.
 MEMO = 300_000
+#: Texts parsed at a time.
+SLICE = 256
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -102,7 +104,7 @@ class Model:
 
     def learn(self, token: str) -> int:
         """Row of a token's costs: its letters, then its phrases for each language."""
-        words = LETTERS.findall(token)
+        words = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in LETTERS.findall(token)]
         row = self.memo[token] = len(self.memo)
         self.costs.extend([sum(map(len, words)), *(sum(map(a.phrases, words)) for a in self.automata)])
         return row
@@ -160,14 +162,18 @@ def identify(docs: DataFrame, words: tuple[tuple[str, tuple[str, ...]], ...], te
     kept = docs.drop("lang_pred", "score")
     keep = kept.columns if keep is None else keep
     schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
-    kept = kept.select(*keep, F.col(text).alias("_text_"))
+    extra = [] if text in keep else [text]
+    kept, at_text = kept.select(*keep, *extra), [*keep, *extra].index(text)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shared.value)
         for batch in batches:
-            found = [model.best(x) for x in model.parse([t or "" for t in batch.column(len(keep)).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+            found: list[tuple[str, float]] = []
+            for at in range(0, batch.num_rows, SLICE):
+                found += map(model.best, model.parse([t or "" for t in batch.column(at_text).slice(at, SLICE).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+        model.clear()  # a worker goes on to other stages
 
     return kept.mapInArrow(run, schema)
 

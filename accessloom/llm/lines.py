@@ -151,18 +151,20 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "n_lines int, n_dropped int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, gone = [], [], []
-            for value, numbers in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                parts, stay = (value or "").split("\n"), set(numbers or ())
-                full = [bool(p.split()) for p in parts]
-                left = [p for i, p in enumerate(parts) if not full[i] or i in stay]
-                texts.append(None if value is None else "\n".join(left) if stay or not any(full) else "")
-                lines.append(sum(full))
-                gone.append(sum(full) - len(stay))
-            columns = [*batch.columns[:-1], pa.array(lines, pa.int32()), pa.array(gone, pa.int32())]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_dropped"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                texts, lines, gone = [], [], []
+                for value, numbers in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                    parts, stay = (value or "").split("\n"), set(numbers or ())
+                    full = [bool(p.split()) for p in parts]
+                    left = [p for i, p in enumerate(parts) if not full[i] or i in stay]
+                    texts.append(None if value is None else "\n".join(left) if stay or not any(full) else "")
+                    lines.append(sum(full))
+                    gone.append(sum(full) - len(stay))
+                columns = [*batch.columns[:-1], pa.array(lines, pa.int32()), pa.array(gone, pa.int32())]
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_dropped"])
 
     return joined.mapInArrow(run, schema)
 
