@@ -30,7 +30,7 @@ END_ID = 1
 #: Remainders held before packing starts, and those kept back so that late windows still have a choice.
 POOL, KEEP = 1024, 256
 #: Distinct words whose ids a worker remembers.
-MEMO = 600_000
+MEMO = 500_000
 #: Longer texts are tokenised in parts cut where the tokenizer itself always cuts.
 PART = 1 << 20
 
@@ -143,11 +143,23 @@ def odd_characters() -> frozenset[str]:
     return frozenset(map(chr, range(0x1C, 0x20))) | {c for c in map(chr, range(0x80, sys.maxunicode)) if unicodedata.category(c) in ("Nl", "No")}
 
 
+class Memo(dict):
+    """Ids of what stands between two spaces, with its leading space if there is one; computed once for each."""
+
+    def __init__(self, ids: Ids, lead: str):
+        super().__init__()
+        self.ids, self.lead = ids, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self[chunk] = self.ids.chunk(self.lead + chunk)
+        return found
+
+
 class Ids:
     """Ids of whole texts, as little-endian unsigned 32-bit, equal to the tokenizer's own for each text.
 
     Byte-level BPE first cuts a text into words by a pattern; ids of a word don't depend on its
-    neighbours. A word with its leading space is looked up in a bounded memo, and only new words are
+    neighbours. What stands between spaces and line ends is looked up in a bounded memo, and only new words are
     encoded. Texts with characters on which the pattern isn't certain, and texts holding one of the
     special tokens, are encoded whole by the tokenizer.
     """
@@ -164,53 +176,62 @@ class Ids:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.odd = odd_characters()
         self.watched = self.odd | self.SPACES
-        self.encode = lambda words: [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        self.encode = lambda word: self.whole.encode(word, add_special_tokens=False).ids
         if ranks_path:
             import base64
 
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-            same = tiktoken.Encoding("same", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda words: list(map(same.encode_ordinary, words))
-        self.memo: dict[str, bytes] = {}
+            self.encode = tiktoken.Encoding("same", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.forget()
+
+    def forget(self) -> None:
+        self.first, self.spaced, self.single = Memo(self, ""), Memo(self, " "), {}
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def words(self, text: str) -> list[str]:
-        return [text] if text.isalpha() or text[:1] == " " and text[1:].isalpha() else self.SPLIT.findall(text)
-
-    def learn(self, chunks: list[str]) -> None:
-        """Puts chunks (words that stand between single spaces, with any punctuation) into the memo."""
-        parts = [self.words(c) for c in chunks]
-        flat = [w for p in parts for w in p]
-        ids = iter(self.encode(flat))
-        for chunk, p in zip(chunks, parts, strict=True):
-            self.memo[chunk] = self.pack(next(ids) if len(p) == 1 else [i for _ in p for i in next(ids)])
-
-    def chunks(self, text: str, uneven: bool) -> list[str]:
-        """Cuts where both neighbours of a space or line end aren't white space; elsewhere the full pattern decides."""
-        if any(r in text for r in self.RUNS) or text[0].isspace() or text[-1].isspace() or uneven:
-            return self.words(text)
-        out: list[str] = []
+    def chunk(self, text: str) -> bytes:
+        """Ids of a chunk: of each of its words by the pattern."""
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():
+            return self.pack(self.encode(text))
+        out = []
+        for word in self.SPLIT.findall(text):
+            known = self.single.get(word)
+            if known is None:
+                bare = word[1:] if word[:1] == " " else word
+                known = (self.spaced if bare is not word else self.first)[bare] if bare.isalpha() else self.pack(self.encode(word))
+                if len(word) < 8:
+                    self.single[word] = known
+            out.append(known)
+        return b"".join(out)
+
+    def plain(self, text: str, even: bool) -> bytes:
+        """Ids of a text on which the pattern is certain. A space or line end between two other characters is a sure cut."""
+        if not text:
+            return b""
+        if not even or any(r in text for r in self.RUNS) or text[0].isspace() or text[-1].isspace():
+            return b"".join(map(self.first.__getitem__, self.SPLIT.findall(text)))
+        out: list[bytes] = []
+        first, spaced, end = self.first, self.spaced.__getitem__, self.first["\n"]
         for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out += ("\n", first) if out else (first,)
-            out += [" " + w for w in rest]
-        return out
+            head, *rest = line.split(" ")
+            out += (end, first[head]) if out else (first[head],)
+            out += map(spaced, rest)
+        return b"".join(out)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        even = [self.watched.isdisjoint(t) for t in texts]
-        plain = [(e or self.odd.isdisjoint(t)) and not any(s in t for s in self.special) for t, e in zip(texts, even, strict=True)]
-        cut = [self.chunks(t, not e) if p and t else [] for t, p, e in zip(texts, plain, even, strict=True)]
-        new = {c for part in cut for c in part if c not in self.memo}
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = {c for part in cut for c in part}
-        self.learn(list(new))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) if p else self.pack(self.whole.encode(t, add_special_tokens=False).ids) for t, p, c in zip(texts, plain, cut, strict=True)]
+        if len(self.first) + len(self.spaced) + len(self.single) > MEMO:
+            self.forget()
+        out = []
+        for text in texts:
+            even = self.watched.isdisjoint(text)
+            if (even or self.odd.isdisjoint(text)) and not any(s in text for s in self.special):
+                out.append(self.plain(text, even))
+            else:
+                out.append(self.pack(self.whole.encode(text, add_special_tokens=False).ids))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -271,15 +292,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, *,
 
         packer = Packer(emit, TaskContext.get().partitionId() << 33, window)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(names), 512):
-                for name, found in zip(names[at : at + 512], ids([t or "" for t in texts[at : at + 512]]), strict=True):
+            for at in range(0, batch.num_rows, 256):
+                names, texts = (batch.column(c).slice(at, 256).to_pylist() for c in (0, 1))
+                for name, found in zip(names, ids([t or "" for t in texts]), strict=True):
                     whole = found + end
                     packer.add((name, len(whole) // 4), whole)
                 if len(rows[0]) > 4096:
                     yield drain()
         packer.close()
         yield drain()
+        ids.forget()  # a worker goes on to other stages
 
     return docs.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(run, SCHEMA if with_ids else SCHEMA.rpartition(", ")[0])
 
