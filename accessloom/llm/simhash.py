@@ -160,6 +160,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def rows_of_first(docs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of `docs` at each class's `first`, once; `named` is docs with its places."""
+    kept = written(classes.select(F.col("first._doc_").alias("_d"), F.col("first._hash_").alias("_t")), "kept")
+    stay = named.join(kept.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_d")) & (F.col("_hash_") == F.col("_t")))
+    once = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_doc_", "_hash_").orderBy(F.lit(0)))).where("_n = 1")
+    return once.select([F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """One row of each group of near-duplicates: the smallest doc_id (null last), of several rows any one of the first text by hash."""
     named = docs.withColumn("_hash_", F.xxhash64(text)).withColumn("_doc_", F.col(doc).cast("long"))
@@ -169,10 +177,7 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: in
     distinct = marked.groupBy("fp").agg(F.min(place).alias("first"))
     members = components(links(distinct, distance))
     classes = distinct.join(members, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    kept = written(classes.select(F.col("first._doc_").alias("_d"), F.col("first._hash_").alias("_t")), "kept")
-    stay = named.join(kept.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_d")) & (F.col("_hash_") == F.col("_t")))
-    once = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_doc_", "_hash_").orderBy(F.lit(0)))).where("_n = 1")
-    return once.select([F.col(f"`{c}`") for c in docs.columns])
+    return rows_of_first(docs, named, classes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessloom.llm import langid, lines, mixture, packing, simhash
+from accessloom.llm import alike, langid, lines, mixture, packing
 from accessloom.llm.common import ship, table, written
 
 
@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that of the smallest doc_id."""
+    """Keeps one document of each group linked by a five-word Jaccard similarity of 0.8: that of the smallest doc_id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return alike.keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
