@@ -42,7 +42,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: A stretch long enough to hold a hex find or base64 worth unwrapping.
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: The longest stretch in the characters of either alphabet, and its parts in one alphabet alone.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
@@ -181,17 +183,24 @@ def inner_layers(layer: Layer, limit: int = LAYER_LIMIT) -> Iterator[Layer]:
                 if (found := _replaced(layer, start, end, pattern, decode)) is not None:
                     yield found
     for run in LONG.finditer(text):
-        for m in BASE64.finditer(text, run.start(), run.end()):
-            code = m.group().rstrip("=")
-            if len(code) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode((code + "=" * (-len(code) % 4)).translate(_URLSAFE), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            if (found := unpacked(data, limit)) is not None:
-                start, end = layer.span(m.start(), m.end())
-                yield Layer(found, start, end)
+        for whole in BASE64.finditer(text, run.start(), run.end()):
+            # Whole first; then in each alphabet alone, where the other's characters only adjoin it.
+            parts = dict.fromkeys([whole.span(), *(m.span() for p in ALPHABETS for m in p.finditer(text, *whole.span()))])
+            for a, b in parts:
+                if (found := _decoded(text[a:b], limit)) is not None:
+                    yield Layer(found, *layer.span(a, b))
+
+
+def _decoded(stretch: str, limit: int) -> str | None:
+    """Text that a stretch of base64 in either alphabet unwraps to."""
+    code = stretch.rstrip("=")
+    if len(code) % 4 == 1:
+        return None
+    try:
+        data = base64.b64decode((code + "=" * (-len(code) % 4)).translate(_URLSAFE), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+    return unpacked(data, limit)
 
 
 _URLSAFE = str.maketrans("-_", "+/")
