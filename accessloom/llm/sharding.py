@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, written
 
 LIMIT = 64 << 20
 #: Bits of the first histogram beyond log2(total / limit), and bits that each further round adds.
@@ -88,9 +88,13 @@ def shard(docs: DataFrame, limit: int = LIMIT, doc: str = "doc_id", text: str =
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, doc: str = "doc_id", text: str = "text") -> None:
-    """Writes every row with all its columns into its shard's folder, each by one task: none is larger than the limit."""
-    whole = _marked(docs.drop("bytes", "shard", "depth", "shard_bytes"), doc, text)
-    marks = cut(whole.select("bytes", "_h", "_at"))
+    """Writes every row with all its columns into its shard's folder, each by one task: none is larger than the limit.
+
+    Marked rows are written before, so that a row has the same place for the directory as when it is dealt. Columns named
+    bytes, shard, depth and shard_bytes are left out.
+    """
+    whole = written(_marked(docs.drop("bytes", "shard", "depth", "shard_bytes"), doc, text), "marked")
+    marks = whole.select("bytes", "_h", "_at")
     _placed(whole, marks, limit).drop("bytes", "depth", "shard_bytes").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
