@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 from .groups import run_bounds, whole_runs
-from .simhash import rows_of_first
 
 WIDTH = 5
 #: Least similarity, as a fraction: so many of so many.
@@ -53,16 +52,16 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(mixed))
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: tuple[int, int] = ALIKE) -> np.ndarray:
     """The first shingles of a set, as many as any set that is alike must share one of; `frequent` is ascending."""
-    n, (some, of) = len(shingles), ALIKE
+    n, (some, of) = len(shingles), similarity
     last = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles if len(frequent) else np.zeros(n, bool)
     return np.concatenate([shingles[~last], shingles[last]])[: n - -(-some * n // of) + 1]
 
 
-def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
+def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, similarity: tuple[int, int]) -> np.ndarray | bool:
     """Whether sets of a and b shingles, `common` of them in both, are similar enough."""
-    return common * sum(ALIKE) >= ALIKE[0] * (a + b)
+    return common * sum(similarity) >= similarity[0] * (a + b)
 
 
 def quarter(shingles: np.ndarray) -> bytes:
@@ -74,13 +73,13 @@ def _unshared(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else len(a)
 
 
-def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hopeful(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """The pairs that their quarters don't rule out."""
     for batch in batches:
         near = []
         for n, m, one, two in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "one", "two")), strict=True):
             a, b = np.frombuffer(one, np.uint16), np.frombuffer(two, np.uint16)
-            near.append(bool(alike(min(n - _unshared(a, b), m - _unshared(b, a)), n, m)))
+            near.append(bool(alike(min(n - _unshared(a, b), m - _unshared(b, a)), n, m, similarity)))
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
@@ -96,29 +95,29 @@ def _frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: int, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """(_doc_, _hash_, set, n, keys, some): the digest of the document's set, its size, prefix and quarter."""
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
             sets = [shingle_set(t.as_py() or "", width) for t in batch.column(2)]
             digests = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            keys = [prefix(s, frequent).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+            keys = [prefix(s, frequent, similarity).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests), pa.array(np.array(list(map(len, sets)), np.int32)), lists, pa.array(map(quarter, sets), pa.binary())], names=["_doc_", "_hash_", "set", "n", "keys", "some"])
 
 
-def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     """Whether sets whose first common shingle has these places can have enough in common."""
-    return alike(np.minimum(n - at, m - to), n, m)
+    return alike(np.minimum(n - at, m - to), n, m, similarity)
 
 
 NAMES = ["key", "a", "b", "n", "at"]
 CANDIDATES = "key long, a long, b long, n int, at int"
 
 
-def _listed(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch], small: int, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of each list: all of a small one, else a path; members of the latter come besides, with b null."""
     for rows in whole_runs(batches):
         key, node, n, at = (rows.column(i).to_numpy() for i in range(4))
@@ -133,7 +132,7 @@ def _listed(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.Record
         for step in range(1, min(small, len(key))):
             same = (key[:-step] == key[step:]) & ((step == 1) | ~crowded[step:])
             x = np.flatnonzero(same)
-            x = x[_possible(n[x], at[x], n[x + step], at[x + step])]
+            x = x[_possible(n[x], at[x], n[x + step], at[x + step], similarity)]
             left.append(node[x])
             right.append(node[x + step])
         a, b = np.concatenate(left), np.concatenate(right)
@@ -142,7 +141,7 @@ def _listed(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pad(key, pa.int64()), pa.concat_arrays([pa.array(np.minimum(a, b)), pa.array(node[c])]), pa.concat_arrays([pa.array(np.maximum(a, b)), pa.nulls(len(c), pa.int64())]), pad(n, pa.int32()), pad(at, pa.int32())], names=NAMES)
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apart(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """The pairs of each large list whose members aren't connected yet."""
     for rows in whole_runs(batches):
         key, node, n, at, part = (rows.column(i).to_numpy() for i in range(5))
@@ -154,30 +153,30 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for i in range(0, length, 128):
                 row = slice(i, i + 128)
-                pairs = (c[row, None] != c[None, :]) & (d[row, None] < d[None, :]) & _possible(s[row, None], p[row, None], s[None, :], p[None, :])
+                pairs = (c[row, None] != c[None, :]) & (d[row, None] < d[None, :]) & _possible(s[row, None], p[row, None], s[None, :], p[None, :], similarity)
                 x, y = np.nonzero(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(d[row][x]), pa.array(d[y])], names=["a", "b"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = []
         for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
             a, b = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
-            near.append(bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+            near.append(bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity)))
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def links(named: DataFrame, distinct: DataFrame, text: str, width: int = WIDTH, small: int = SMALL) -> DataFrame:
+def links(named: DataFrame, distinct: DataFrame, text: str, width: int, similarity: tuple[int, int], small: int) -> DataFrame:
     """Edges (a, b) that connect the nodes of distinct sets linked by similarity, directly or by others."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = distinct.select(F.posexplode("keys").alias("at", "key"), "node", "n").select("key", "node", "n", "at")
     listed = postings.repartition(parts, "key").sortWithinPartitions("key")
-    met = written(listed.mapInArrow(lambda b: _listed(b, small), CANDIDATES), "listed")
+    met = written(listed.mapInArrow(lambda b: _listed(b, small, similarity), CANDIDATES), "listed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (distinct.select(F.col("node").alias(x), F.col("n").alias(n), F.col("some").alias(some)) for x, n, some in (("a", "n", "one"), ("b", "m", "two")))
-        pairs = written(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n", "m", "one", "two").mapInArrow(_hopeful, "a long, b long"), "candidates")
+        pairs = written(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n", "m", "one", "two").mapInArrow(lambda b: _hopeful(b, similarity), "a long, b long"), "candidates")
         asked = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first._doc_").alias("_d"), F.col("first._hash_").alias("_t"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,29 +188,27 @@ def links(named: DataFrame, distinct: DataFrame, text: str, width: int = WIDTH,
         spelled = named.join(asked.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_d")) & (F.col("_hash_") == F.col("_t"))).select("node", F.col(text).alias("_text_"))
         sets = written(spelled.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
-        return written(both.select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long"), "links")
+        return written(both.select("a", "b", "one", "two").mapInArrow(lambda b: _verified(b, similarity), "a long, b long"), "links")
 
     edges = verified(met.where(F.col("b").isNotNull()).select("a", "b"))
     crowded = met.where(F.col("b").isNull()).select("key", F.col("a").alias("node"), "n", "at")
     if not crowded.isEmpty():
         members = components(edges)
         labelled = crowded.join(members, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
-        rest = labelled.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_apart, "a long, b long")
+        rest = labelled.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: _apart(b, similarity), "a long, b long")
         edges = edges.union(verified(rest))
     return edges
 
 
-def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, small: int = SMALL) -> DataFrame:
-    """One row of each group of documents linked by similarity: the smallest doc_id (null last), of several rows any one of the first text by hash.
+def classes(docs: DataFrame, named: DataFrame, text: str = "text", width: int = WIDTH, similarity: tuple[int, int] = ALIKE, small: int = SMALL) -> DataFrame:
+    """(component, first) of the documents linked by similarity; first is the place (unnamed, _doc_, _hash_) of the one that stays.
 
-    Null and empty texts have the same, empty, set. Texts of any length are read whole.
+    `named` is docs with its places. Null and empty texts have the same, empty, set. Texts of any length are read whole.
     """
-    named = docs.withColumn("_hash_", F.xxhash64(text)).withColumn("_doc_", F.col(doc).cast("long"))
     frequent = _frequent(docs, text, width)
-    light = named.select("_doc_", "_hash_", F.col(text).alias("text")).mapInArrow(lambda b: _prefixes(b, frequent, width), "_doc_ long, _hash_ long, set long, n int, keys array<long>, some binary")
+    light = named.select("_doc_", "_hash_", F.col(text).alias("text")).mapInArrow(lambda b: _prefixes(b, frequent, width, similarity), "_doc_ long, _hash_ long, set long, n int, keys array<long>, some binary")
     place = F.struct(F.col("_doc_").isNull().alias("unnamed"), "_doc_", "_hash_")
     distinct = light.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("some").alias("some"))
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "prefixes")
-    members = components(links(named, distinct, text, width, small)).withColumnRenamed("node", "of")
-    classes = distinct.select("node", "first").join(members, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    return rows_of_first(docs, named, classes)
+    members = components(links(named, distinct, text, width, similarity, small)).withColumnRenamed("node", "of")
+    return distinct.select("node", "first").join(members, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))

@@ -28,35 +28,6 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: int | str = 0) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def runs_and_crowds(batches: Iterator[pa.RecordBatch], key: int | str, largest: int) -> Iterator[tuple[pa.Table, bool]]:
-    """As `whole_runs`, but a run of more than `largest` rows comes in parts (with True), so it is never held whole."""
-    held: list[pa.RecordBatch] = []
-    crowd = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key)
-        if crowd is not None:
-            more = pc.index(pc.equal(keys, crowd), False).as_py()
-            yield pa.Table.from_batches([batch.slice(0, more if more >= 0 else batch.num_rows)]), True
-            if more < 0:
-                continue
-            batch, keys, crowd = batch.slice(more), keys.slice(more), None
-        last = keys[len(keys) - 1]
-        if held and keys[0].equals(last) and held[0].column(key)[0].equals(last):
-            held.append(batch)
-        else:
-            start = pc.index(pc.equal(keys, last), True).as_py()
-            if held or start:
-                yield pa.Table.from_batches([*held, batch.slice(0, start)]), False
-            held = [batch.slice(start)]
-        if sum(b.num_rows for b in held) > largest:
-            yield pa.Table.from_batches(held), True
-            held, crowd = [], last
-    if held:
-        yield pa.Table.from_batches(held), False
-
-
 def run_bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal keys."""
     if not len(keys):
@@ -65,13 +36,16 @@ def run_bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-def least_linked(linked: np.ndarray) -> np.ndarray:
-    """For a symmetric matrix of links: the first index of each row's component."""
-    labels = np.arange(len(linked))
-    while True:
-        near = np.where(linked, labels[None, :], len(linked)).min(axis=1, initial=len(linked))
-        new = np.minimum(labels, near)
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For n members with links x[i] - y[i]: the first index of each one's component."""
+    labels = np.arange(n)
+    while len(x):
+        new = labels.copy()
+        least = np.minimum(labels[x], labels[y])
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
         new = new[new]
         if np.array_equal(new, labels):
-            return labels
+            break
         labels = new
+    return labels

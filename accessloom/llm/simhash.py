@@ -1,38 +1,42 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A fingerprint has eight positional bytes. Two fingerprints that differ in at most four bits differ in at most
-four bytes, so they share at least four positional bytes: the guaranteed minimum. The index lists, for every
-choice of four positions and their bytes, the fingerprints that have them; two fingerprints meet in a list just
-when their tally of shared positional bytes reaches the minimum. In the lists that hold more than one
-fingerprint the tally is counted out in full, and what reaches the minimum is verified by differing bits.
-
-Equal fingerprints enter once. A list emits a spanning forest of its links and never all pairs. Lists beyond
-`LIST` members aren't compared pair by pair: their members are joined on the fingerprints within half the
-distance of both (two are within 4 bits just when some fingerprint is within 2 bits of each), which grows in
-proportion to the members.
+A fingerprint has eight positional bytes. Two fingerprints that differ in at most d bits differ in at most d bytes, so
+they share at least 8 - d positional bytes: the guaranteed minimum. The index lists, for a position and its byte, the
+fingerprints that have it. A pair's first shared position is one of the first d + 1, so only these are posted. Within
+a list the tally of shared positional bytes is counted for every pair; pairs that reach the minimum are verified by
+their differing bits.
+
+A list of more than `LIST` members is split by a further position and its byte, beyond those it is named by, and so on
+until the minimum is reached; then by half bytes in the same way, of which the rest of two linked fingerprints must
+share as many as there are bits to differ. No list is compared by another rule, and no link is lost. A list split to the
+end holds fingerprints that differ in `distance` half bytes at most, so at most 65,536 for four bits.
+
+Equal fingerprints enter once. A list emits a spanning forest of its links and never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from . import alike
+from .common import cut, table, written
 from .components import components
-from .groups import least_linked, run_bounds, runs_and_crowds
+from .groups import forest, run_bounds, whole_runs
 
 BYTES, DISTANCE = 8, 4
 WIDTH, SEED = 4, 42
-#: Members up to which a list is compared within one task.
-LIST = 4096
+#: Members from which on a list is split further, and members up to which lists are compared side by side.
+LIST, SHORT = 1024, 16
 #: Shingles hashed at a time.
 CHUNK = 1 << 16
+KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str, width: int = WIDTH) -> int:
@@ -62,86 +66,106 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: in
     return docs.select(*keep, F.col(text).alias("_text_")).mapInArrow(run, schema)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.RecordBatch]:
-    """(list, fingerprint) for each choice of `need` positions; a list's key holds the choice and the bytes there."""
-    choices = list(combinations(range(BYTES), need))
-    for batch in batches:
-        fps = batch.column(0).to_numpy()
-        parts = fps.astype(np.int64).view(np.uint8).reshape(-1, BYTES).astype(np.int64)
-        keys = np.empty((len(fps), len(choices)), np.int64)
-        for c, places in enumerate(choices):
-            key = np.full(len(fps), c, np.int64)
-            for p in places:
-                key = key << 8 | parts[:, p]
-            keys[:, c] = key
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps, len(choices)))], names=["list", "fp"])
-
-
-def _tallied(fps: np.ndarray, need: int, distance: int) -> np.ndarray:
-    """Links among the members of one list: tallies of shared positional bytes first, then differing bits."""
-    linked = np.zeros((len(fps), len(fps)), bool)
-    for at in range(0, len(fps), 128):
-        differing = fps[at : at + 128, None] ^ fps[None, :]
-        tally = (differing.view(np.uint8).reshape(*differing.shape, BYTES) == 0).sum(axis=2)
-        linked[at : at + 128] = (tally >= need) & (np.bitwise_count(differing) <= distance)
-    return linked
-
-
-def _verified(batches: Iterator[pa.RecordBatch], need: int, distance: int, largest: int) -> Iterator[pa.RecordBatch]:
-    """Spanning edges (a, b) of each list's links; members of lists beyond `largest` come with b null."""
-    for rows, crowd in runs_and_crowds(batches, 0, largest):
-        keys, fps = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
-        starts, lengths = run_bounds(keys)
-        a, b, crowded = [], [], [fps] if crowd else []
-        if not crowd:
-            two = starts[lengths == 2]
-            differing = fps[two] ^ fps[two + 1]
-            tally = (differing.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-            near = (tally >= need) & (np.bitwise_count(differing) <= distance)
-            a.append(fps[two[near]])
-            b.append(fps[two[near] + 1])
-            for start, length in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
-                members = fps[start : start + length]
-                if length > largest:
-                    crowded.append(members)
-                    continue
-                first = least_linked(_tallied(members, need, distance))
-                linked = first != np.arange(length)
-                a.append(members[linked])
-                b.append(members[first[linked]])
-        ones, others = (np.concatenate([*x, np.zeros(0, np.uint64)]).view(np.int64) for x in (a, b))
-        alone = np.concatenate([*crowded, np.zeros(0, np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ones, alone])), pa.concat_arrays([pa.array(others), pa.nulls(len(alone), pa.int64())])], names=["a", "b"])
-
-
-def _around(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(near, fingerprint) for every value within `radius` bits of each fingerprint."""
-    masks = np.array([sum(1 << i for i in bits) for n in range(radius + 1) for bits in combinations(range(64), n)], dtype=np.uint64)
+def _free_halves() -> np.ndarray:
+    """Numbers of the half bytes outside of a mask of bytes, ascending, for each mask."""
+    out = np.zeros((256, 2 * BYTES), np.int64)
+    for mask in range(256):
+        free = [2 * b + h for b in range(BYTES) if not mask >> b & 1 for h in (0, 1)]
+        out[mask, : len(free)] = free
+    return out
+
+
+def _posted(batches: Iterator[pa.RecordBatch], level: int, distance: int) -> Iterator[pa.RecordBatch]:
+    """(list, named, last, fp): each row's postings one level further down.
+
+    `named` are the bytes that the list is named by and `last` the last place of the current kind. The list of the n-th
+    place is sought among the first distance + n, as the first n shared ones of two linked fingerprints lie there.
+    """
+    whole, free = BYTES - distance, _free_halves()
     for batch in batches:
-        fps = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-        for at in range(0, len(fps), 64):
-            some = fps[at : at + 64]
-            near = (some[:, None] ^ masks[None, :]).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(np.repeat(some, len(masks)).view(np.int64))], names=["near", "fp"])
+        lists, named, last, fps = (batch.column(c).to_numpy().astype(np.int64) for c in ("list", "named", "last", "fp"))
+        out = []
+        n = level if level < whole else level - whole
+        for at in range(distance + n + 1):
+            some = last < at
+            if level < whole:
+                place, bits = np.full(some.sum(), at), 8
+            else:
+                place, bits = free[named[some], at], 4
+            value = fps[some] >> place * bits & (1 << bits) - 1
+            key = (lists[some].view(np.uint64) * KEY ^ (place << 8 | value).astype(np.uint64)) * KEY
+            out.append((key ^ key >> np.uint64(29), named[some] | (1 << place if level < whole else 0), np.full(some.sum(), -1 if level == whole - 1 else at), fps[some]))
+        columns = [np.concatenate(c).astype(np.uint64).view(np.int64) if i == 0 else np.concatenate(c).astype(np.int64) for i, c in enumerate(zip(*out, strict=True))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "named", "last", "fp"])
+
+
+POSTING = "list long, named long, last long, fp long"
+
+
+def tallies(differing: np.ndarray) -> np.ndarray:
+    """Number of shared positional bytes, from the differing bits: bytes that are zero."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return np.bitwise_count(~((differing & low) + low | differing | low))
+
+
+def _linked(a: np.ndarray, b: np.ndarray, need: int, distance: int) -> tuple[np.ndarray, ...]:
+    """Places of the pairs whose tally reaches the minimum and whose differing bits are few enough."""
+    differing = a ^ b
+    counted = np.nonzero(tallies(differing) >= need)
+    near = np.bitwise_count(differing[counted]) <= distance
+    return tuple(c[near] for c in counted)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], need: int, distance: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that span each list's links; rows come sorted by list."""
+    for rows in whole_runs(batches):
+        lists, fps = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
+        starts, lengths = run_bounds(lists)
+        short = np.repeat(lengths <= SHORT, lengths)
+        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for step in range(1, min(SHORT, len(fps))):
+            at = np.flatnonzero((lists[:-step] == lists[step:]) & short[:-step])
+            (near,) = _linked(fps[at], fps[at + step], need, distance)
+            a.append(fps[at[near]])
+            b.append(fps[at[near] + step])
+        for start, length in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
+            members = fps[start : start + length]
+            found = [_linked(members[i : i + 64, None], members[None, i:], need, distance) for i in range(0, length, 64)]
+            x = np.concatenate([f[0] + i * 64 for i, f in enumerate(found)])
+            y = np.concatenate([f[1] + i * 64 for i, f in enumerate(found)])
+            root = forest(length, x, y)
+            child = np.flatnonzero(root != np.arange(length))
+            a.append(members[child])
+            b.append(members[root[child]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (a, b)], names=["a", "b"])
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, largest: int = LIST) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints `fp` linked at up to `distance` bits, directly or by others."""
-    need = BYTES - distance
-    if need < 1:
-        raise ValueError("the index needs a positional byte that all links share")
-    # Each fingerprint becomes many postings, so these are dealt by a number that isn't set by the fingerprints' few bytes.
+    if not 0 < distance < BYTES:
+        raise ValueError("the index needs a positional byte that all links share, and a bit that may differ")
+    need, levels = BYTES - distance, BYTES
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = distinct.select("fp").repartition(parts).mapInArrow(lambda b: _postings(b, need), "list long, fp long")
-    sorted_lists = postings.repartition(parts, "list").sortWithinPartitions("list", "fp")
-    met = written(sorted_lists.mapInArrow(lambda b: _verified(b, need, distance, largest), "a long, b long").distinct(), "met")
-    edges, crowded = met.where(F.col("b").isNotNull()), met.where(F.col("b").isNull()).select(F.col("a").alias("fp"))
-    if not crowded.isEmpty():
-        # Two values within half the distance of a third are within the distance of each other: no check is left to do.
-        near = crowded.repartition(parts).mapInArrow(lambda b: _around(b, distance // 2), "near long, fp long")
-        centre = near.groupBy("near").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a != most")
-        edges = edges.union(near.join(centre, "near").where("fp != a").select("a", F.col("fp").alias("b")).distinct())
-    return edges
+    rows = distinct.select(F.lit(0).cast("long").alias("list"), F.lit(0).cast("long").alias("named"), F.lit(-1).cast("long").alias("last"), "fp")
+    edges = []
+    for level in range(levels):
+        # Each fingerprint becomes many postings, so these are dealt by a number that isn't set by the fingerprints' few bytes.
+        posted = written(rows.repartition(parts).mapInArrow(lambda b, level=level: _posted(b, level, distance), POSTING), "postings")
+        crowded = cut(posted.groupBy("list").count().where(F.col("count") > (largest if level < levels - 1 else 1 << 62)).select("list"))
+        split = not crowded.isEmpty()
+        whole = posted.join(crowded, "list", "left_anti") if split else posted
+        dealt = whole.select("list", "fp").repartition(parts, "list").sortWithinPartitions("list", "fp")
+        edges.append(written(dealt.mapInArrow(lambda b: _verified(b, need, distance), "a long, b long").distinct(), "links"))
+        if not split:
+            break
+        rows = posted.join(crowded, "list", "left_semi")
+    return reduce(DataFrame.union, edges)
+
+
+def _classes(distinct: DataFrame, distance: int) -> DataFrame:
+    """(fp, first, component) of distinct fingerprints."""
+    members = components(links(distinct, distance))
+    return distinct.join(members, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
@@ -152,10 +176,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
     any length are read whole; an empty table gives no rows; other columns are ignored.
     """
     marked = written(fingerprints(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")), ["doc_id"], width=width), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    members = components(links(distinct, distance))
-    classes = distinct.join(members, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = cut(_classes(cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"))), distance))
+    # Cut, so that a component or fingerprint with many members can be split in the joins.
+    least = cut(classes.groupBy("component").agg(F.min("first").alias("component_id")))
     named = classes.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -163,21 +186,27 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
 def rows_of_first(docs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
     """The row of `docs` at each class's `first`, once; `named` is docs with its places."""
     kept = written(classes.select(F.col("first._doc_").alias("_d"), F.col("first._hash_").alias("_t")), "kept")
-    stay = named.join(kept.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_d")) & (F.col("_hash_") == F.col("_t")))
-    once = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_doc_", "_hash_").orderBy(F.lit(0)))).where("_n = 1")
-    return once.select([F.col(f"`{c}`") for c in docs.columns])
+    stay = named.join(kept.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_d")) & (F.col("_hash_") == F.col("_t")), "left_semi")
+    once = stay.groupBy("_doc_", "_hash_").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_whole_"))
+    return once.select("_whole_.*")
+
 
+def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, distance: int = DISTANCE, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One row of each group of near-duplicates: the smallest doc_id (null last), of several rows the first by the text's hash and then by all columns.
 
-def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
-    """One row of each group of near-duplicates: the smallest doc_id (null last), of several rows any one of the first text by hash."""
+    `similarity` links by the Jaccard similarity of shingle sets, so many of so many, instead of by `distance`: such texts may differ
+    in more bits than the positional bytes can vouch for, so they are sought as told in `alike`. Null and empty texts are alike;
+    texts of any length are read whole; an empty table gives no rows; other columns pass through (names that begin and end
+    with _ are kept free).
+    """
     named = docs.withColumn("_hash_", F.xxhash64(text)).withColumn("_doc_", F.col(doc).cast("long"))
+    if similarity:
+        return rows_of_first(docs, named, alike.classes(docs, named, text, width, similarity))
     light = fingerprints(named.select("_doc_", "_hash_", F.col(text).alias("text")), ["_doc_", "_hash_"], width=width)
     marked = written(light, "fingerprints")
     place = F.struct(F.col("_doc_").isNull().alias("unnamed"), "_doc_", "_hash_")
-    distinct = marked.groupBy("fp").agg(F.min(place).alias("first"))
-    members = components(links(distinct, distance))
-    classes = distinct.join(members, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    return rows_of_first(docs, named, classes)
+    distinct = cut(marked.groupBy("fp").agg(F.min(place).alias("first")))
+    return rows_of_first(docs, named, _classes(distinct, distance).groupBy("component").agg(F.min("first").alias("first")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
