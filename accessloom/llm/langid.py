@@ -1,188 +1,189 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds the words of labelled texts. A text is parsed against each: at
-every place the longest match in the automaton is one phrase (a letter never seen is a phrase of its own), so
-a text in the automaton's language needs few phrases. The language with the fewest phrases per letter wins.
-
-Phrases end at word ends. A word's phrase counts therefore don't depend on its neighbours; workers remember
-them for words met before, and whole texts cost little more than a look-up per word.
-
-The automata are fitted on a bounded sample of the labelled rows (`DOCS` per language, their `WORDS` commonest
-words); every text of the table is then parsed whole.
+For each language a suffix automaton holds labelled texts, as letters with a space for whatever stands between. A text is
+parsed against each, across the ends of words: at every place the longest match in the automaton is one phrase (a
+letter never seen is a phrase of its own). So many phrases, each a reference into as many learned letters, are what the
+text costs in that language: phrases times log2 of the letters learned, per letter of the text. The language
+in which it costs least wins.
+
+The automata are fitted on a bounded sample of the labelled rows: up to `DOCS` a language, none longer than `LONGEST`
+characters (but for a language that has longer ones only, of which the shortest is taken). Every text is parsed whole.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
-from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Labelled documents per language (on average, by a hash), and words per language, that are learned.
-DOCS, WORDS = 2000, 8_000
-#: Words whose phrase counts a worker remembers.
-MEMO = 300_000
-#: Texts parsed at a time.
-SLICE = 256
+#: Labelled rows of a language that are learned, and the characters up to which a row is taken.
+DOCS, LONGEST = 40, 4096
+#: Bits a letter from which on a text is in none of the languages, and letters from which on that can be told.
+FOREIGN, LETTERS = 9.0, 40
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Lower-cased letters, with one space between words."""
+    return BETWEEN.sub(" ", text.lower()).strip()
 
 
 class SuffixAutomaton:
-    """Suffix automaton over words: accepts every substring of each of them."""
-
-    def __init__(self, words: list[str]):
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        for word in words:
-            last = 0
-            for c in word:
-                last = self.extend(last, c)
+    """Suffix automaton over texts: accepts every substring of each of them.
+
+    A state is the dictionary of its edges, which lead to other states; a parse follows them without any numbering.
+    """
 
-    def state(self, length: int, link: int, edges: dict[str, int]) -> int:
-        self.next.append(edges)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.next) - 1
-
-    def extend(self, last: int, c: str) -> int:
-        """The state of the current word one letter on; words share states where they share substrings."""
-        if c in self.next[last]:
-            q = self.next[last][c]
-            return q if self.length[q] == self.length[last] + 1 else self.split(last, c, q)
-        new, p = self.state(self.length[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][c]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self.split(p, c, q)
+    def __init__(self, texts: list[str]):
+        self.root: dict[str, dict] = {}
+        self.link: dict[int, dict] = {}
+        self.length = {id(self.root): 0}
+        self.states = [self.root]
+        self.size = sum(map(len, texts))
+        for text in texts:
+            last = self.root
+            for c in text:
+                last = self.extend(last, c)
+        del self.link, self.length  # only building needs them
+
+    def state(self, length: int, link: dict, edges: dict) -> dict:
+        self.states.append(edges)
+        self.length[id(edges)] = length
+        self.link[id(edges)] = link
+        return edges
+
+    def extend(self, last: dict, c: str) -> dict:
+        """The state of the current text one letter on; texts share states where they share substrings."""
+        length, link = self.length, self.link
+        if c in last:
+            q = last[c]
+            return q if length[id(q)] == length[id(last)] + 1 else self.split(last, c, q)
+        new, p = self.state(length[id(last)] + 1, self.root, {}), last
+        while p is not None and c not in p:
+            p[c] = new
+            p = link.get(id(p))
+        if p is not None:
+            q = p[c]
+            link[id(new)] = q if length[id(q)] == length[id(p)] + 1 else self.split(p, c, q)
         return new
 
-    def split(self, p: int, c: str, q: int) -> int:
+    def split(self, p: dict, c: str, q: dict) -> dict:
         """A copy of q for the shorter matches that reach it from p."""
-        copy = self.state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
-            p = self.link[p]
+        copy = self.state(self.length[id(p)] + 1, self.link[id(q)], dict(q))
+        self.link[id(q)] = copy
+        while p is not None and p.get(c) is q:
+            p[c] = copy
+            p = self.link.get(id(p))
         return copy
 
-    def phrases(self, word: str) -> int:
-        """Phrases of a greedy parse of the word into longest matches."""
-        count, at, state = 0, 0, 0
-        edges = self.next
-        while at < len(word):
-            to = edges[state].get(word[at])
-            if to is not None:
-                at, state = at + 1, to
+    def phrases(self, text: str) -> int:
+        """Phrases of a greedy parse of the text into longest matches."""
+        root = state = self.root
+        count = 0
+        for c in text:
+            if c in state:
+                state = state[c]
             else:
-                count += 1
-                at += state == 0
-                state = 0
-        return count + (state != 0)
+                count += state is not root
+                if c in root:
+                    state = root[c]
+                else:
+                    count += 1
+                    state = root
+        return count + (state is not root)
 
 
 class Model:
-    """Automata of all languages, in the order given, and the memo of known words."""
-
-    def __init__(self, words: tuple[tuple[str, tuple[str, ...]], ...]):
-        self.names = [n for n, _ in words]
-        self.automata = [SuffixAutomaton(list(w)) for _, w in words]
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.costs = array("q")
-
-    def learn(self, token: str) -> int:
-        """Row of a token's costs: its letters, then its phrases for each language."""
-        words = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in LETTERS.findall(token)]
-        row = self.memo[token] = len(self.memo)
-        self.costs.extend([sum(map(len, words)), *(sum(map(a.phrases, words)) for a in self.automata)])
-        return row
-
-    def parse(self, texts: list[str]) -> list[np.ndarray]:
-        """Letters and phrases of whole texts."""
-        if len(self.memo) > MEMO:
-            self.clear()
-        rows, get = [], self.memo.get
-        for text in texts:
-            rows.append([r if (r := get(w)) is not None else self.learn(w) for w in text.lower().split()])
-        costs = np.array(self.costs, dtype=np.int64).reshape(-1, len(self.names) + 1)
-        return [costs[r].sum(axis=0) if r else np.zeros(len(self.names) + 1, np.int64) for r in rows]
+    """Automata of all languages, in the order given."""
 
-    def best(self, found: np.ndarray) -> tuple[str, float]:
-        """The language with the fewest phrases (ties: the first given), and how far the next one is, from 0 to 1."""
-        if not found[0] or not self.names:
-            return UNKNOWN, 0.0
-        order = sorted((int(n), i) for i, n in enumerate(found[1:]))
-        return self.names[order[0][1]], 1.0 if len(order) == 1 else 1.0 - order[0][0] / order[1][0]
+    def __init__(self, learned: tuple[tuple[str, tuple[str, ...]], ...]):
+        self.names = [n for n, _ in learned]
+        self.automata = [SuffixAutomaton([letters(t) for t in texts]) for _, texts in learned]
+        self.bits = [math.log2(a.size + 2) for a in self.automata]
+
+    def judged(self, text: str) -> tuple[str, float, float, int]:
+        """The language in which a text costs least (ties: the first given), how far the next one is (0 to 1), bits a letter, and letters."""
+        plain = letters(text)
+        n = len(plain) - plain.count(" ")
+        if not n or not self.names:
+            return UNKNOWN, 0.0, 0.0, n
+        costs = sorted((a.phrases(plain) * b, i) for i, (a, b) in enumerate(zip(self.automata, self.bits, strict=True)))
+        return self.names[costs[0][1]], 1.0 if len(costs) == 1 else 1.0 - costs[0][0] / costs[1][0], costs[0][0] / n, n
 
 
 @functools.lru_cache(maxsize=1)
-def model_of(words: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
-    return Model(words)
+def model_of(learned: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
+    return Model(learned)
 
 
-def training_words(labelled: DataFrame, docs: int = DOCS, words: int = WORDS, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """The commonest words of about `docs` labelled documents of each language; at most `words` for each. Commonest language first.
+def training_texts(labelled: DataFrame, docs: int = DOCS, longest: int = LONGEST, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Texts of up to `docs` labelled rows of each language, the commonest language first.
 
-    Documents are taken whose hash (of id and text, so that copies of one text don't come or go together) lies below a
-    level set by their language's number of documents. Texts aren't shuffled; only words of the sample are.
+    Rows are taken whose hash (of id and text, so that copies of one text don't come or go together) lies below a level
+    set by their language's number of rows; of these the first `docs`. So texts beyond the sample aren't shuffled.
     """
-    usable = labelled.select(doc, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    levels = {r[0]: min(1.0, docs / r[1]) for r in usable.groupBy(lang).count().collect()}
-    if not levels:
+    usable = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc, text).alias("at")).where("lang IS NOT NULL AND text IS NOT NULL")
+    short = F.length("text") <= longest
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(short, 1)).alias("short"), F.min(F.struct(F.length("text").alias("length"), "at")).alias("least")).collect()
+    if not sizes:
         return ()
-    level = F.element_at(F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]), F.col(lang))
-    sample = usable.where(F.pmod(F.xxhash64(doc, text), F.lit(1 << 30)) < level * (1 << 30))
-    each = sample.select(lang, F.explode(F.expr(rf"regexp_extract_all(lower({text}), '\\p{{L}}+', 0)")).alias("word")).groupBy(lang, "word").count()
-    top = each.withColumn("_n", F.row_number().over(Window.partitionBy(lang).orderBy(F.desc("count"), "word"))).where(F.col("_n") <= words)
+    level = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, 4 * docs / max(1, r.short)))])
+    sample = usable.where(short & (F.pmod("at", F.lit(1 << 30)) < F.element_at(level, F.col("lang")) * (1 << 30)))
+    least = [r for r in sizes if not r.short]
+    if least:
+        only = F.create_map(*[F.lit(x) for r in least for x in (r.lang, r.least["at"])])
+        sample = sample.union(usable.where(F.col("at") == F.try_element_at(only, F.col("lang"))).dropDuplicates(["lang"]))
+    first = Window.partitionBy("lang").orderBy("at", "text")
+    rows = sample.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs).orderBy("lang", "n").collect()
     found: dict[str, list[str]] = {}
-    for row in top.orderBy(lang, "_n").select(lang, "word").collect():
-        found.setdefault(row[0], []).append(row[1])
-    return tuple((k, tuple(found.get(k, ()))) for k in sorted(levels, key=lambda k: (levels[k], k)))
+    for row in rows:
+        found.setdefault(row.lang, []).append(row.text)
+    return tuple((r.lang, tuple(found.get(r.lang, ()))) for r in sorted(sizes, key=lambda r: (-r.n, r.lang)))
 
 
-def identify(docs: DataFrame, words: tuple[tuple[str, tuple[str, ...]], ...], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to every row; the prediction reads nothing but the text. `keep`: columns to return, all by default.
+def identify(docs: DataFrame, learned: tuple[tuple[str, tuple[str, ...]], ...], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds lang_pred, score, bits (a letter) and n_letters to every row; the prediction reads nothing but the text. `keep`: columns to return, all by default.
 
-    A null text, one without letters, and any text where no language was learned get `und` and 0. Repeated rows
-    are judged alike, texts of any length are parsed whole, an empty table gives no rows, and other columns pass
-    through (columns named lang_pred and score are replaced).
+    A null text, one without letters, and any text where no language was learned get `und` and 0. Ties go to the
+    commoner language. Repeated rows are judged alike, texts of any length are parsed whole, an empty table gives no
+    rows, and other columns pass through (columns named as those added are replaced).
     """
-    kept = docs.drop("lang_pred", "score")
+    added = ("lang_pred", "score", "bits", "n_letters")
+    kept = docs.drop(*added)
     keep = kept.columns if keep is None else keep
-    schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, bits double, n_letters long"])
     extra = [] if text in keep else [text]
-    kept, at_text = kept.select(*keep, *extra), [*keep, *extra].index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    kept, at_text = kept.select(*[F.col(f"`{c}`") for c in (*keep, *extra)]), [*keep, *extra].index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shared.value)
         for batch in batches:
-            found: list[tuple[str, float]] = []
-            for at in range(0, batch.num_rows, SLICE):
-                found += map(model.best, model.parse([t or "" for t in batch.column(at_text).slice(at, SLICE).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
-        model.clear()  # a worker goes on to other stages
+            found = [model.judged(t.as_py() or "") for t in batch.column(at_text)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [()] * 4, (pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *added])
 
     return kept.mapInArrow(run, schema)
 
 
+def accepted(foreign: float = FOREIGN, least: int = LETTERS) -> F.Column:
+    """Whether an identified row is in one of the languages: it has letters, and doesn't cost as much as a text in none of them."""
+    return (F.col("lang_pred") != UNKNOWN) & ((F.col("n_letters") < least) | (F.col("bits") < foreign))
+
+
 def held_out(doc: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    words = training_words(docs.where(~held_out()))
-    return identify(docs, words, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    learned = training_texts(docs.where(~held_out()))
+    return identify(docs, learned, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
