@@ -1,9 +1,10 @@
 """Line deduplication over the whole corpus by a deletion-neighbourhood join.
 
-Lines are compared by their lower-cased words. Of equal lines the earliest stays. Lines of at least `LEAST`
-words are also compared within one edit (a word put in, left out or replaced): every line is expanded into its
-variants with one word left out, each a hashed key; lines within one edit meet in a variant, the edit distance is
-verified on their words, and the earliest stays.
+Lines are compared by their lower-cased words. Of equal lines the earliest stays. Lines of at least `least` words are
+also compared within one edit (a word put in, left out or replaced): every line is expanded into its variants with one
+word left out, each a hashed key; lines within one edit meet in a variant, the edit distance is verified on their words,
+and the earliest stays. `least` is part of what counts as a repeat: five words, as one edit in a shorter line leaves
+less than 80 % of it (any two lines of one word are within one edit).
 
 A key knows which word was left out. Lines of one length that lose the same word to the same key differ in just
 that word; a line that equals another's variant is that line less a word. So each line is only paired with the
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, written
 
-#: Words from which lines are compared within one edit; shorter ones only for equality.
-LEAST = 8
+#: Words from which lines are compared within one edit; in shorter ones one edit changes more than a fifth.
+LEAST = 5
 PLACE = ["doc", "text_hash", "line"]
 
 
@@ -128,13 +129,30 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
     return spelled_out.mapInArrow(_checked, "h1 long, h2 long").distinct()
 
 
+def _whole(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """Rows with their keys: doc_id, the text's hash, and a hash of all columns."""
+    return docs.withColumns({"_doc_": F.col(doc).cast("long"), "_hash_": F.xxhash64(text), "_all_": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+
+
+def _once(joined: DataFrame, own: list[F.Column]) -> DataFrame:
+    """Leaves the kept lines to one of each set of rows equal in doc_id and text. Rows equal throughout are counted, not gathered."""
+    plain = joined.where(F.col("_least_").isNull()).select(*own, "_kept_")
+    rows = written(joined.where(F.col("_least_").isNotNull()).select(*own, "_kept_", "_all_", "_least_"), "repeated-rows")
+    none = F.lit(None).cast("array<int>")
+    others = rows.where("_all_ != _least_").select(*own, none.alias("_kept_"))
+    alike = rows.where("_all_ = _least_").groupBy(*own, "_kept_").agg(F.count("*").cast("int").alias("_n_"))
+    first = alike.withColumn("_i_", F.explode(F.sequence(F.lit(1), F.col("_n_")))).select(*own, F.when(F.col("_i_") == 1, F.col("_kept_")).alias("_kept_"))
+    return plain.unionByName(others).unionByName(first)
+
+
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """Every row with its repeated lines taken out of the text; adds n_lines and n_dropped (lines with words).
 
-    Earliest is by doc_id, then position. Lines without words stay. Of a text whose lines are all repeats, nothing
-    stays: it is empty. A null text stays null and has no lines; null doc_ids come last; rows equal in doc_id and text
-    count as one document and are cut alike; lines and texts may be of any length; an empty table gives no rows; other
-    columns pass through (n_lines and n_dropped are replaced).
+    Earliest is by doc_id, then the text's hash, then position. Lines without words stay. Of a text whose lines are all
+    repeats, nothing stays: it is empty. A null text stays null and has no lines; null doc_ids come last. Of rows equal in
+    doc_id and text the first by a hash of all columns keeps the lines, and the others lose theirs. Lines and texts may be
+    of any length; an empty table gives no rows; other columns pass through (n_lines and n_dropped are replaced; names
+    that begin and end with _ are kept free here and can't be columns of `docs`).
     """
     base = docs.drop("n_lines", "n_dropped")
     keyed = _keyed(base.select(F.col(doc).alias("_doc_"), F.col(text).alias("_text_")), "_doc_", "_text_")
@@ -143,11 +161,19 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
     dropped = cut(near_lines(keyed, distinct, least))
     kept = distinct.join(dropped, ["h1", "h2"], "left_anti").select("first.*")
     kept = kept.groupBy(F.col("doc").alias("_of_"), F.col("text_hash").alias("_in_")).agg(F.collect_list("line").alias("_kept_"))
+    again = cut(_whole(base, doc, text).groupBy("_doc_", "_hash_").agg(F.count("*").alias("n"), F.min("_all_").alias("_least_")).where("n > 1").drop("n"))
+    repeats = not again.isEmpty()
+    if repeats:
+        kept = kept.join(again, F.col("_of_").eqNullSafe(F.col("_doc_")) & (F.col("_in_") == F.col("_hash_")), "left").drop("_doc_", "_hash_")
     kept = written(kept, "kept-lines")
     names = base.columns
     at = names.index(text)
-    whole = base.withColumn("_hash_", F.xxhash64(text))
-    joined = whole.join(kept.hint("shuffle_hash"), F.col(doc).cast("long").eqNullSafe(F.col("_of_")) & (F.col("_hash_") == F.col("_in_")), "left").select(*(F.col(f"`{c}`") for c in names), "_kept_")
+    whole = _whole(base, doc, text)
+    joined = whole.join(kept.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_of_")) & (F.col("_hash_") == F.col("_in_")), "left")
+    own = [F.col(f"`{c}`") for c in names]
+    if repeats:
+        joined = _once(joined, own)
+    joined = joined.select(*own, "_kept_")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "n_lines int, n_dropped int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
