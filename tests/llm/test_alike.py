@@ -2,11 +2,12 @@ import random
 
 import corpus_pipeline as pipeline
 from conftest import prose
+from pyspark.sql import functions as F
 from test_duplicates import plain_fingerprint, roots
 from test_texts import alike as similarity
 from test_texts import shingles
 
-from accessloom.llm import alike
+from accessloom.llm import alike, simhash
 
 
 def near_texts():
@@ -37,10 +38,12 @@ def test_near_dedup_stage(spark, docs, tmp_path):
     want = roots(len(texts), lambda i, j: (i, j) in linked)
     rows = spark.createDataFrame([(i, t, None, None, 0, "", "") for i, t in enumerate(texts)], docs.schema)
     assert sorted(x.doc_id for x in pipeline.near_dedup(spark, rows, str(tmp_path)).collect()) == sorted(set(want))
-    assert sorted(x.doc_id for x in alike.keep_one(rows, small=2).collect()) == sorted(set(want))
+    named = rows.withColumn("_hash_", F.xxhash64("text")).withColumn("_doc_", F.col("doc_id"))
+    first = alike.classes(rows, named, small=2).collect()
+    assert sorted(x["first"]["_doc_"] for x in first) == sorted(set(want))
 
 
 def test_rows_without_documents(docs, none):
-    assert alike.keep_one(none).count() == 0
-    kept = alike.keep_one(docs)
+    assert simhash.keep_one(none, width=5, similarity=(4, 5)).count() == 0
+    kept = simhash.keep_one(docs, width=5, similarity=(4, 5))
     assert kept.columns == docs.columns and sum(x.text is None or not x.text.split() for x in kept.collect()) == 1

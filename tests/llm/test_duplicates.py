@@ -56,14 +56,21 @@ def test_simhash(docs, none, texts):
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted(min(x for x in ids if x is not None) for ids in least.values())
 
 
-def test_simhash_crowded_lists(spark, docs):
+def test_simhash_index_at_all_distances(spark, docs):
+    """Lists of all sizes down to those split to half bytes give the components of brute force."""
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 62, 3)
-    values = sorted({int(base[r.integers(3)]) ^ sum(1 << int(b) for b in r.choice(62, r.integers(4), replace=False)) for _ in range(150)})
-    want = roots(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 4)
-    for largest in (4096, 5):
-        found = {x.node: x.component for x in components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), largest=largest)).collect()}
-        assert [found.get(v, v) for v in values] == [values[w] for w in want]
+    for distance, largest in ((1, 5), (3, 3), (4, 1024), (4, 12), (7, 20)):
+        values = sorted({int(base[r.integers(3)]) ^ sum(1 << int(b) for b in r.choice(62, r.integers(distance + 2), replace=False)) for _ in range(120)})
+        want = roots(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= distance)
+        edges = {(values.index(x.a), values.index(x.b)) for x in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), distance, largest).collect()}
+        assert roots(len(values), lambda i, j: (i, j) in edges or (j, i) in edges) == want, (distance, largest)
+
+
+def test_tallies():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 1 << 63, 500).astype(np.uint64) & r.integers(0, 1 << 63, 500).astype(np.uint64) & np.uint64(0xFF00F0FF0F00FF01)
+    assert simhash.tallies(x).tolist() == [sum(b == 0 for b in int(v).to_bytes(8, "big")) for v in x]
 
 
 def test_vectors(spark, docs):
@@ -92,6 +99,26 @@ def test_vectors(spark, docs):
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_recall(spark):
+    """Links near the bound, in few and many dimensions, against brute force; at least 0.99 of them are found and no other."""
+    r = np.random.default_rng(17)
+    for dim in (16, 64, 384):
+        rows = []
+        for _ in range(60):
+            centre = r.normal(size=dim)
+            rows += [centre + r.normal(size=dim) * r.uniform(0.05, 0.13) for _ in range(10)]
+        rows += list(r.normal(size=(900, dim)))
+        unit = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+        cosines = unit @ unit.T
+        np.fill_diagonal(cosines, 0)
+        want = (cosines >= 0.98).sum(axis=1)
+        assert want.sum() > 500
+        for block in (1024, 100) if dim == 64 else (1024,):
+            got = {x.vec_id: x for x in pivots.near_vectors(spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int"), block=block).collect()}
+            counts = np.array([got[i].n_links for i in range(len(rows))])
+            assert (counts <= want).all() and counts.sum() >= 0.99 * want.sum(), (dim, counts.sum() / want.sum())
+
+
 def plain_lines(texts):
     """(doc_id, text) to the text that stays."""
     order = {}
@@ -110,7 +137,7 @@ def plain_lines(texts):
             row = new
         return row[-1]
 
-    dropped = {a for a in order if len(a) >= 8 and any(order[b] < order[a] and len(b) >= 8 and abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1 for b in order)}
+    dropped = {a for a in order if len(a) >= 5 and any(order[b] < order[a] and len(b) >= 5 and abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1 for b in order)}
     out = {}
     for at, (unnamed, doc, _, text) in enumerate(hashed):
         parts = (text or "").split("\n")
@@ -125,7 +152,12 @@ def test_lines(docs, none, texts):
     got = lines.dedup_lines(docs)
     want = plain_lines(texts)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
-    assert sorted((repr(x.doc_id), repr(x.text)) for x in got.collect()) == sorted((repr(t[0]), repr(want[t[0], t[1]])) for t in texts)
+    seen, rows = set(), []
+    for t in texts:  # of equal rows only the first keeps lines
+        text = want[t[0], t[1]] if (t[0], t[1]) not in seen else t[1] and ("" if t[1].split() else t[1])
+        rows.append((repr(t[0]), repr(text)))
+        seen.add((t[0], t[1]))
+    assert sorted((repr(x.doc_id), repr(x.text)) for x in got.collect()) == sorted(rows)
     assert lines.dedup_lines(none).count() == 0
 
 
@@ -157,6 +189,71 @@ def test_passages(spark, docs, none):
     assert chains.passages(none).count() == 0
 
 
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[-1], last[j + 1]))
+    return row[-1]
+
+
+def test_passages_by_brute_force(spark, docs, monkeypatch):
+    """Every passage of 50 words that occurs before is found, frequent parts or not; whatever is found is long and alike enough."""
+    r = random.Random(29)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    fill = lambda n: [word() for _ in range(n)]
+    lines = [fill(r.randint(25, 35)) for _ in range(12)]
+    bodies = [[*fill(r.randint(0, 9)), *r.choice(lines), *fill(r.randint(0, 9))] for _ in range(60)]
+    for _ in range(60):
+        bodies.append([*fill(r.randint(0, 20)), *(w for line in r.sample(lines, r.randint(1, 3)) for w in line), *fill(r.randint(0, 20))])
+    period = fill(60)
+    bodies += [[*period, *period, *period], [*fill(4), *fill(20) * 8, *fill(4)], bodies[70][:], bodies[71][:]]
+    r.shuffle(bodies)
+    rows = [(r.randrange(100) if i % 9 else None, " ".join(b)) for i, b in enumerate(bodies)]
+    rows += [rows[3], rows[3], (rows[4][0], rows[5][1])]
+    texts = [(d, t.split()) for d, t in rows]
+    for block in (chains.BLOCK, 64):
+        monkeypatch.setattr(chains, "BLOCK", block)
+        frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, seed string, key string")
+        found = chains.passages(frame).collect()
+        at = {}
+        for d, w in texts:
+            at.setdefault(d, []).append(w)
+        for x in found:
+            assert min(x.end - x.start, x.first_end - x.first_start) >= chains.LEAST and x.likeness >= chains.ALIKE
+            assert any(2 * common_words(a[x.start : x.end], b[x.first_start : x.first_end]) >= (x.likeness - 1e-9) * (x.end - x.start + x.first_end - x.first_start) for a in at[x.doc_id] if len(a) >= x.end for b in at[x.first_doc_id] if len(b) >= x.first_end), x
+            assert x.doc_id is None or x.doc_id != x.first_doc_id or x.end - x.start == x.first_end - x.first_start or x.start >= x.first_end
+        # All places of each window of 50 words; all but one must lie in passages of their documents, up to a seed's window at each end.
+        places = {}
+        for d, w in {(d, " ".join(w)): (d, w) for d, w in texts}.values():
+            for i in range(len(w) - 49):
+                places.setdefault(tuple(w[i : i + 50]), set()).add((d, " ".join(w), i))
+        spans = {}
+        for x in found:
+            spans.setdefault(x.doc_id, []).append((x.start, x.end))
+            spans.setdefault(x.first_doc_id, []).append((x.first_start, x.first_end))
+        missed = 0
+        for some in places.values():
+            if len({(d, t) for d, t, _ in some}) > 1:
+                missed += sum(not any(a <= i + 25 < b for a, b in spans.get(d, [])) for d, _, i in some) > 1
+        assert not missed
+        assert sum(x.start == x.first_start == 0 and x.doc_id == x.first_doc_id and x.end == x.first_end for x in found) >= 2
+
+
+def test_seeds():
+    r = random.Random(13)
+    words = [r.choice(("a", "b", "c")) for _ in range(3000)]
+    keys, places = chains.seeds(words, chains.Hashes())
+    by = {}
+    for k, p in zip(keys.tolist(), places.tolist(), strict=True):
+        size, at = (chains.LONG, p - chains.LONG_MARK) if p >= chains.LONG_MARK else (chains.K, p)
+        by.setdefault(k, set()).add(tuple(words[at : at + size]))
+        assert at + size <= len(words)
+    assert all(len(v) == 1 for v in by.values()) and len({w for v in by.values() for w in v}) == len(by)
+
+
 def test_chain_finds_best_predecessors():
     assert chains.chained([(0, 0, 10), (12, 12, 10), (30, 5, 8)]) == [(0, 22, 0, 22), (30, 38, 5, 13)]
     assert chains.agreeing("a b c d".split(), "b x d".split()) == 2

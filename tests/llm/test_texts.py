@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accessloom.llm import langid, mixture, packing, secrets, sharding, sketch
+from accessloom.llm.common import ship
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -180,33 +181,47 @@ def test_secret_rows(docs, none, texts):
 def test_suffix_automaton():
     r = random.Random(8)
     for _ in range(60):
-        words = ["".join(r.choice("abc") for _ in range(r.randint(1, 8))) for _ in range(r.randint(1, 10))]
-        known = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
-        automaton = langid.SuffixAutomaton(words)
+        learned = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 8))]
+        known = {w[i:j] for w in learned for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+        automaton = langid.SuffixAutomaton(learned)
         for _ in range(40):
-            word = "".join(r.choice("abcd") for _ in range(r.randint(1, 12)))
+            text = "".join(r.choice("abcd  ") for _ in range(r.randint(1, 16)))
             at = count = 0
-            while at < len(word):
-                at += max([n for n in range(1, len(word) - at + 1) if word[at : at + n] in known], default=1)
+            while at < len(text):
+                at += max([n for n in range(1, len(text) - at + 1) if text[at : at + n] in known], default=1)
                 count += 1
-            assert automaton.phrases(word) == count
+            assert automaton.phrases(text) == count
+
+
+def test_phrases_go_over_word_ends():
+    model = langid.Model((("aa", ("one two three",)), ("bb", ("one", "two", "three"))))
+    assert [a.phrases("one two three") for a in model.automata] == [1, 5] and langid.letters("One,2 TWO\n...three") == "one two three"
 
 
 def test_language(spark, docs, none, texts):
     r = random.Random(5)
     kinds = {"aa": ["ba", "ke", "lo"], "bb": ["ri", "tu", "no"], "cc": ["ша", "ли", "во"]}
     made = [(i, " ".join("".join(r.choices(kinds[k], k=3)) for _ in range(30)), k) for i, k in enumerate(r.choices(list(kinds), k=90))]
-    rows = spark.createDataFrame([*made, (None, "bakelo", None)], "doc_id long, text string, lang string")
-    words = langid.training_words(rows.where(~langid.held_out()))
-    got = langid.identify(rows, words).collect()
-    assert all(x.lang_pred == x.lang for x in got if x.lang) and all(0 <= x.score <= 1 for x in got)
-    odd = langid.identify(docs, words)
-    assert odd.columns == [*docs.columns, "lang_pred", "score"]
+    rows = spark.createDataFrame([*made, (None, "bakelo", None), (500, "x" * 5000, "dd"), (501, "y" * 6000, "dd")], "doc_id long, text string, lang string")
+    learned = langid.training_texts(rows.where(~langid.held_out()), docs=20)
+    known = [x.lang for x in rows.where(~langid.held_out()).where("lang IS NOT NULL").collect()]
+    assert {k: len(t) for k, t in learned} == {k: min(20, known.count(k)) if k != "dd" else 1 for k in set(known)}
+    got = langid.identify(rows, learned).collect()
+    assert all(x.lang_pred == x.lang for x in got if x.lang and x.lang != "dd") and all(0 <= x.score <= 1 for x in got)
+    odd = langid.identify(docs, learned)
+    assert odd.columns == [*docs.columns, "lang_pred", "score", "bits", "n_letters"]
     assert {(x.lang_pred, x.score) for x in odd.collect() if not any(c.isalpha() for c in x.text or "")} == {("und", 0.0)}
-    assert langid.identify(none, words).count() == 0 and langid.training_words(none) == ()
+    assert langid.identify(none, learned).count() == 0 and langid.training_texts(none) == ()
     assert {x.lang_pred for x in langid.identify(rows, ()).collect()} == {"und"}
 
 
+def test_held_out_accuracy(spark):
+    """On the small table of invented prose: nearly all documents that weren't learned from, by the registered query."""
+    ship(spark)
+    found = langid.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
+    assert len(found) > 200 and sum(x.lang == x.lang_pred for x in found) >= 0.98 * len(found)
+
+
 def test_shards(docs, none, texts):
     for limit in (2000, 10_000, 1 << 30):
         got = sharding.shard(docs, limit).collect()
