@@ -8,6 +8,8 @@ from math import asin, ceil, cos, radians, sin, sqrt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .values import whole
+
 # Representative latitude and longitude, minutes ahead of UTC, and pairs that share a border.
 PLACES = {
     "US": (39.8283, -98.5795), "VN": (14.0583, 108.2772), "JP": (36.2048, 138.2529), "KR": (35.9078, 127.7669),
@@ -45,4 +47,4 @@ def offset_minutes(location: Column) -> Column:
 
 
 def local_hour(seconds: Column, location: Column) -> Column:
-    return F.floor(F.pmod(seconds + offset_minutes(location) * 60, F.lit(86400)) / 3600).cast("long")
+    return whole(F.pmod(F.pmod(seconds, F.lit(86400)) + offset_minutes(location) * 60, F.lit(86400)), F.lit(3600))

@@ -51,10 +51,17 @@ def resource_key(value: Column) -> Column:
 
 
 def utc_text(seconds: Column) -> Column:
-    """ISO text of epoch seconds, in UTC whatever the session's time zone."""
-    moment = F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO text of epoch seconds, in UTC whatever the session's time zone. The calendar repeats every 400 years, so any moment has one."""
+    era = F.lit(146_097 * 86_400)
+    moment = F.timestamp_add("SECOND", F.pmod(seconds, era), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    year = F.year(moment) + whole(seconds - F.pmod(seconds, era), era) * 400
+    return F.concat(F.lpad(year.cast("string"), F.greatest(F.lit(4), F.length(year.cast("string"))), F.lit("0")), F.date_format(moment, "-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def utc_day(seconds: Column) -> Column:
-    return F.floor(seconds / 86400).cast("long")
+    return whole(seconds, F.lit(86400))
+
+
+def whole(a: Column, b: Column) -> Column:
+    """Quotient of whole numbers, without the detour over doubles."""
+    return F.call_function("div", a, b)

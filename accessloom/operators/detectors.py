@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import local_hour, travel
-from ..functions.values import known_location, resource_key, touches, utc_day
+from ..functions.values import known_location, resource_key, touches, utc_day, whole
 from ..functions.windows import by_seq, crossing, island, sliding, upto, with_seq
 
 
@@ -44,10 +43,20 @@ class Params:
         return cls(**{k: int(v) for k, v in given.items() if k in known and v is not None})
 
 
+#: Seconds of a slice of a location's time, if four windows aren't longer.
+SLICE = 21_600
+
+
 @dataclass(frozen=True)
 class Found:
+    """Alerts, with the bounds of their evidence, and the rows that can be evidence.
+
+    An alert's evidence is the rows of its key and group from (lo_ts, lo_seq) on, as far as these are given, up to its own seq; or
+    just those that `only` lists as (timestamp, seq).
+    """
+
     alerts: DataFrame
-    rows: DataFrame
+    rows: DataFrame | None
 
 
 SEVERITY = {
@@ -127,7 +136,7 @@ def impossible_travel(recs: DataFrame, p: Params) -> Found:
     w = by_seq("user")
     rows = rows.withColumn("origin", F.lag("location").over(w)).withColumn("_ts", F.lag("timestamp").over(w)).withColumn("_seq", F.lag("seq").over(w))
     hit = rows.join(F.broadcast(travel(recs.sparkSession)), ["origin", "location"]).where(F.col("timestamp") - F.col("_ts") < F.col("least_sec"))
-    return Found(_bounded(hit, F.col("timestamp") - F.col("_ts"), lo_seq=F.col("_seq")), rows)
+    return Found(_bounded(hit, F.col("timestamp") - F.col("_ts"), lo_seq=F.col("_seq"), lo_ts=F.col("_ts")), rows)
 
 
 def location_flapping(recs: DataFrame, p: Params) -> Found:
@@ -144,7 +153,7 @@ def long_session(recs: DataFrame, p: Params) -> Found:
     w = by_seq("user")
     rows = rows.withColumn("_event", F.lag("event_type").over(w)).withColumn("_ts", F.lag("timestamp").over(w)).withColumn("_seq", F.lag("seq").over(w))
     lasted = F.col("timestamp") - F.col("_ts")
-    return Found(_bounded(rows.where(_is("LOGOUT") & (F.col("_event") == "LOGIN") & (lasted > p.sessionSec)), lasted, lo_seq=F.col("_seq")), rows)
+    return Found(_bounded(rows.where(_is("LOGOUT") & (F.col("_event") == "LOGIN") & (lasted > p.sessionSec)), lasted, lo_seq=F.col("_seq"), lo_ts=F.col("_ts")), rows)
 
 
 def login_burst(recs: DataFrame, p: Params) -> Found:
@@ -169,17 +178,25 @@ def admin_downloads(recs: DataFrame, p: Params) -> Found:
 
 
 def silence_burst(recs: DataFrame, p: Params) -> Found:
-    """Each row after a silence opens a count of the rows of its next burstSec; running totals by seq turn it into one range join."""
+    """Each row after a silence opens a count of the rows of its next burstSec.
+
+    The first row to pass n is the first whose running total passes by more than n the total before the silence. Totals ascend, so
+    in one sweep from the last row back, what precedes a silence's mark in the order of totals is that row.
+    """
     rows = _keyed(with_seq(recs, "user"), "user")
     w = by_seq("user")
     rows = rows.withColumn("_all", F.sum("cnt").over(upto(w)))
-    gaps = rows.withColumn("_ts", F.lag("timestamp").over(w)).withColumn("_base", F.col("_all") - F.col("cnt"))
-    gaps = gaps.where(F.col("timestamp") >= F.col("_ts") + p.silenceSec).select(F.col("key").alias("_key"), F.col("seq").alias("_seq"), F.col("timestamp").alias("_start"), "_base")
-    # The first row to pass n is the first whose running total passes base + n; its total one row before hadn't.
-    total = F.col("_all") - F.col("_base")
-    meets = (F.col("key") == F.col("_key")) & (F.col("seq") >= F.col("_seq")) & (F.col("timestamp") <= F.col("_start") + p.burstSec)
-    hit = rows.join(gaps, meets & _above(total, p.n) & ((F.col("seq") == F.col("_seq")) | ~_above(total - F.col("cnt"), p.n)))
-    return Found(_bounded(hit, total, lo_seq=F.col("_seq") - 1), rows)
+    gaps = rows.withColumn("_ts", F.lag("timestamp").over(w)).where(F.col("timestamp") - F.col("_ts") >= p.silenceSec)
+    none, place = F.lit(None), F.struct("seq", "timestamp", "_all")
+    own = rows.select("key", F.col("_all").alias("_at"), F.lit(0).alias("_mark"), place.alias("_row"), none.cast("struct<seq:bigint,timestamp:bigint,_all:bigint,_ts:bigint>").alias("_gap"))
+    mark = F.col("_all") - F.col("cnt") + (max(p.n, 0) + 1)
+    marks = gaps.select("key", mark.alias("_at"), F.lit(1).alias("_mark"), none.cast("struct<seq:bigint,timestamp:bigint,_all:bigint>").alias("_row"), F.struct("seq", "timestamp", (F.col("_all") - F.col("cnt")).alias("_all"), "_ts").alias("_gap"))
+    back = Window.partitionBy("key").orderBy(F.desc("_at"), "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = own.unionAll(marks).withColumn("_found", F.last("_row", ignorenulls=True).over(back)).where("_mark = 1")
+    met = met.where(F.col("_found.timestamp") - F.col("_gap.timestamp") <= p.burstSec)
+    met = met.select("key", F.col("_found.seq").alias("seq"), F.col("_gap.seq").alias("_seq"), F.col("_gap._all").alias("_base"), F.col("_gap._ts").alias("_from"))
+    hit = rows.join(met, ["key", "seq"])
+    return Found(_bounded(hit, F.col("_all") - F.col("_base"), lo_seq=F.col("_seq") - 1, lo_ts=F.col("_from")), rows)
 
 
 def slow_brute_force(recs: DataFrame, p: Params) -> Found:
@@ -190,10 +207,10 @@ def slow_brute_force(recs: DataFrame, p: Params) -> Found:
     folded = folded.withColumn("all", F.transform("all", lambda x: F.struct(x["timestamp"].alias("ts"), x["seq"].alias("seq"))))
 
     def step(acc: Column, x: Column) -> Column:
-        left = F.filter(acc["w"], lambda y: y["ts"] + F.lit(p.windowSec) >= x["ts"])
+        left = F.filter(acc["w"], lambda y: x["ts"] - y["ts"] <= F.lit(p.windowSec))
 
         def queued(left: Column) -> Column:
-            takes = (F.size(left) == 0) | (x["ts"] >= F.get(left, F.size(left) - 1)["ts"] + F.lit(p.minSpacingSec))
+            takes = (F.size(left) == 0) | (x["ts"] - F.get(left, F.size(left) - 1)["ts"] >= F.lit(p.minSpacingSec))
             return F.struct((acc["rep"] & (F.size(left) >= p.n)).alias("rep"), F.when(takes, F.concat(left, F.array(x))).otherwise(left).alias("w"))
 
         def fired(s: Column) -> Column:
@@ -205,8 +222,9 @@ def slow_brute_force(recs: DataFrame, p: Params) -> Found:
 
     empty = F.expr(f"named_struct('w', cast(array() as array<{item}>), 'rep', false, 'out', cast(array() as array<struct<seq:bigint,w:array<{item}>>>))")
     fires = folded.select("key", F.explode(F.aggregate("all", empty, step, lambda a: a["out"])).alias("_f")).select("key", F.col("_f.seq").alias("seq"), F.col("_f.w").alias("_w"))
-    hit = rows.join(fires, ["key", "seq"]).withColumn("only", F.transform("_w", lambda y: y["seq"]))
-    return Found(_bounded(hit, F.size("_w"), lo_seq=F.get("only", F.lit(0))), rows)
+    hit = rows.join(fires, ["key", "seq"]).withColumnRenamed("_w", "only")
+    first = F.get("only", F.lit(0))
+    return Found(_bounded(hit, F.size("only"), lo_seq=first["seq"], lo_ts=first["ts"]), rows)
 
 
 def machine_speed(recs: DataFrame, p: Params) -> Found:
@@ -233,11 +251,25 @@ def robot_timing(recs: DataFrame, p: Params) -> Found:
 
 
 def failing_location(recs: DataFrame, p: Params) -> Found:
-    rows = _keyed(with_seq(recs.where(known_location()), "location"), "location")
+    """Locations are few, so each is cut into slices of time, which are worked on apart.
+
+    A slice also has the rows of the one before that its windows reach; these only count, and whether the row before
+    a slice's first one was bad comes from that row's own slice.
+    """
+    size = max(4 * (p.windowSec + 1), SLICE)
+    inside = F.pmod("timestamp", F.lit(size))
+    known = recs.where(known_location()).withColumn("_slice", whole(F.col("timestamp"), F.lit(size)))
+    copies = F.when(inside >= size - p.windowSec, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = known.withColumn("_copy", F.explode(copies)).withColumn("_slice", F.col("_slice") + F.col("_copy")).withColumn("key", F.concat_ws(":", "location", "_slice"))
+    rows = _keyed(with_seq(rows, "key"), "key")
     failed = F.when(_is("FAILED_LOGIN"), F.col("cnt")).otherwise(0)
-    counted = sliding(rows, "location", p.windowSec, {"_total": F.col("cnt"), "_failed": failed})
-    bad = (F.col("_total") >= p.minEvents) & (F.col("_failed") * 100 >= F.col("_total") * p.failureRatioPercent)
-    hit = counted.withColumn("_hit", crossing(bad, by_seq("location"))).where("_hit")
+    counted = sliding(rows, "key", p.windowSec, {"_total": F.col("cnt"), "_failed": failed}).where("_copy = 0")
+    counted = counted.withColumn("_bad", (F.col("_total") >= p.minEvents) & (F.col("_failed") * 100 >= F.col("_total") * p.failureRatioPercent))
+    counted = counted.withColumn("_before", F.lag("_bad").over(by_seq("key")))
+    ends = counted.groupBy("location", "_slice").agg(F.max_by("_bad", "seq").alias("_ended"))
+    ends = ends.withColumn("_ended", F.lag("_ended").over(Window.partitionBy("location").orderBy("_slice")))
+    counted = counted.where("_bad AND NOT coalesce(_before, false)").join(ends, ["location", "_slice"])
+    hit = counted.where(~F.coalesce("_before", "_ended", F.lit(False)))
     return Found(_bounded(hit, F.col("_failed"), lo_ts=F.col("timestamp") - p.windowSec), rows)
 
 
@@ -255,15 +287,15 @@ def sequential_scan(recs: DataFrame, p: Params) -> Found:
 
 
 def micro_sessions(recs: DataFrame, p: Params) -> Found:
-    """Short sessions with activity: from a login to the first logout before the next login."""
+    """Short sessions with activity: from a login to the first logout before the next login. A session has one login row."""
     rows = with_seq(recs, "user").withColumn("_part", island("user", _is("LOGIN"))).where("_part > 0")
     part = by_seq("user", "_part")
     rows = rows.withColumn("_outs", F.coalesce(F.sum(_is("LOGOUT").cast("long")).over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_outs = 0")
-    sessions = rows.groupBy("user", "_part").agg(F.min("timestamp").alias("_a"), F.max(F.when(_is("LOGOUT"), F.col("timestamp"))).alias("_b"), F.max(_is("ACCESS", "DOWNLOAD")).alias("_active"))
-    short = sessions.where(F.col("_active") & (F.col("_b") - F.col("_a") <= p.maxDurationSec)).select("user", "_part")
-    rows = _keyed(rows.join(short, ["user", "_part"]), "user")
-    users = rows.groupBy("key").agg(F.countDistinct("_part").alias("_n"), F.max("seq").alias("seq")).where(_above(F.col("_n"), p.n))
-    return Found(_bounded(rows.join(users, ["key", "seq"]), F.col("_n")), rows)
+    session, user = Window.partitionBy("user", "_part"), Window.partitionBy("user")
+    rows = rows.withColumns({"_a": F.min("timestamp").over(session), "_b": F.max(F.when(_is("LOGOUT"), F.col("timestamp"))).over(session), "_active": F.max(_is("ACCESS", "DOWNLOAD")).over(session)})
+    rows = _keyed(rows.where(F.col("_active") & (F.col("_b") - F.col("_a") <= p.maxDurationSec)), "user")
+    rows = rows.withColumns({"_n": F.sum(_is("LOGIN").cast("long")).over(user), "_last": F.max("seq").over(user)})
+    return Found(_bounded(rows.where(_above(F.col("_n"), p.n) & (F.col("seq") == F.col("_last"))), F.col("_n")), rows)
 
 
 DETECTORS: dict[str, Callable[[DataFrame, Params], Found]] = {
@@ -278,12 +310,3 @@ DETAIL = {
     "A9": "%s downloads in a row after an admin action", "B1": "login after %s failures in a row", "B2": "%s events in a burst after silence", "C4": "%s spaced failed logins",
     "D2": "%s gaps at machine speed", "D8": "%s evenly timed events in a day", "D10": "%s failed events at one location", "D11": "%s resources in sequence", "E1": "%s very short sessions",
 }
-
-
-def bounds(found: Found) -> Column:
-    """Whether a row (columns of `rows` under alias r) is evidence of an alert (alias a)."""
-    a, r = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"r.{c}"))
-    tests = [a("key") == r("key"), a("grp") == r("grp"), r("seq") <= a("hi_seq"), r("seq") >= F.coalesce(a("lo_seq"), r("seq")), r("timestamp") >= F.coalesce(a("lo_ts"), r("timestamp"))]
-    if "only" in found.alerts.columns:
-        tests.append(F.array_contains(a("only"), r("seq")))
-    return reduce(lambda x, y: x & y, tests)

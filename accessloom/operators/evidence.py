@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import utc_text
-from .detectors import DETAIL, DETECTORS, SEVERITY, Params, bounds
+from .detectors import DETAIL, DETECTORS, SEVERITY, Found, Params
 
 RECORD = "struct<event_type:string,user:string,device:string,app:string,resource:string,location:string,timestamp:bigint,cnt:bigint>"
 SCHEMA = f"type string, severity string, user string, device string, app string, resource string, location string, timestamp long, end_timestamp long, count long, detail string, records array<{RECORD}>"
@@ -14,24 +14,51 @@ ANCHOR = ("user", "device", "app", "resource", "location")
 _IDENTITY = ("user_ord", "device_ord", "app_ord", "resource_ord", "event_tag", "loc_tag", "hi_seq", "lo_seq", "lo_ts", "grp", "key")
 
 
+def _placed(found: Found, names: list[str]) -> DataFrame:
+    """Alerts with `_lo` and `_hi`, places in their key and group counted from the last row back, and `_from`, the time of their first evidence.
+
+    The evidence is what lies from `_hi` + 1 to `_lo`. One sweep from the last row back passes every alert's own row and
+    its lower bound, so the work is a sort, however many rows lie between.
+    """
+    a = found.alerts.select(F.struct(*names).alias("_a"), "key", "grp", "timestamp", "hi_seq", "lo_ts", "lo_seq")
+    none = F.lit(None)
+    rows = found.rows.select("key", "grp", F.col("timestamp").alias("_at"), F.col("seq").alias("_by"), F.lit(1).alias("_phase"), none.cast(a.schema["_a"].dataType).alias("_a"))
+    first = F.coalesce("lo_seq", F.lit(0).cast("long"))
+    # From the back an alert's own row comes after its upper mark, and a bound after the rows that it lets in.
+    marks = [F.struct(F.col("timestamp").alias("_at"), F.col("hi_seq").alias("_by"), F.lit(0).alias("_phase")), F.struct(F.coalesce("lo_ts", F.lit(-1).cast("long")).alias("_at"), first.alias("_by"), F.lit(2).alias("_phase"))]
+    a = a.withColumn("_m", F.explode(F.array(*marks))).select("key", "grp", "_m._at", "_m._by", "_m._phase", "_a")
+    back = Window.partitionBy("key", "grp").orderBy(F.desc("_at"), F.desc("_by"), "_phase").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.col("_phase") == 1
+    swept = rows.unionByName(a).withColumns({"_n": F.count(F.when(own, 1)).over(back), "_from": F.min(F.when(own, F.col("_at"))).over(back)}).where("_phase != 1")
+    upper = F.col("_phase") == 0
+    return swept.groupBy("_a").agg(F.max(F.when(~upper, F.col("_n"))).alias("_lo"), F.max(F.when(upper, F.col("_n"))).alias("_hi"), F.max(F.when(~upper, F.col("_from"))).alias("_from")).select("_a.*", "_lo", "_hi", "_from")
+
+
 def _merged(log: DataFrame, kind: str, params: Params, with_records: bool) -> DataFrame:
-    """Alerts grouped with their evidence. Keys of the grouping identify the anchor, and for bursts the silence before."""
+    """Alerts with start, end and number of their evidence, and with the rows of it if asked for."""
     found = DETECTORS[kind](log, params)
     names = [*ANCHOR, "event_type", "timestamp", "cnt", "count", *_IDENTITY]
+    own = F.struct("event_type", *ANCHOR, "timestamp", "cnt")
     if found.rows is None:
-        own = F.array(F.struct("event_type", *ANCHOR, "timestamp", "cnt"))
-        return found.alerts.select(*names, F.col("timestamp").alias("start"), F.col("timestamp").alias("end"), F.lit(1).cast("long").alias("n_records"), *([own.alias("records")] if with_records else []))
-    alerts = found.alerts.select(*names, *(["only"] if "only" in found.alerts.columns else []))
-    joined = alerts.alias("a").join(found.rows.alias("r"), bounds(found), "left")
-    row = F.struct(*[F.col(f"r.{c}").alias(c) for c in ("event_type", *ANCHOR, "timestamp", "cnt")])
-    sums = [F.min("r.timestamp").alias("_from"), F.max("r.timestamp").alias("_to"), F.count("r.seq").alias("n_records")]
-    if with_records:
-        sums.append(F.array_sort(F.collect_list(F.when(F.col("r.seq").isNotNull(), F.struct(F.col("r.seq").alias("seq"), row.alias("row"))))).alias("_rows"))
-    grouped = joined.groupBy(*[F.col(f"a.{c}").alias(c) for c in names]).agg(*sums)
-    grouped = grouped.withColumn("start", F.least("timestamp", "_from")).withColumn("end", F.greatest("timestamp", "_to"))
-    if with_records:
-        grouped = grouped.withColumn("records", F.transform("_rows", lambda x: x["row"]))
-    return grouped.drop("_from", "_to", "_rows")
+        return found.alerts.select(*names, F.col("timestamp").alias("start"), F.col("timestamp").alias("end"), F.lit(1).cast("long").alias("n_records"), F.array(own).alias("records"))
+    listed = "only" in found.alerts.columns
+    if listed:
+        placed = found.alerts.select(*names, "only", F.size("only").cast("long").alias("n_records"), F.col("lo_ts").alias("_from"))
+        place = F.explode(F.transform("only", lambda y: y["seq"]))
+        rows = found.rows.withColumn("_place", F.col("seq"))
+    else:
+        placed = _placed(found, names).withColumn("n_records", F.col("_lo") - F.col("_hi"))
+        place = F.explode(F.when(F.col("_lo") > F.col("_hi"), F.sequence(F.col("_hi") + 1, F.col("_lo"))))
+        rows = found.rows.withColumn("_place", F.row_number().over(Window.partitionBy("key", "grp").orderBy(F.desc("timestamp"), F.desc("seq"))).cast("long"))
+    placed = placed.withColumns({"start": F.least("timestamp", "_from"), "end": F.col("timestamp")})
+    if not with_records:
+        return placed
+    # Each alert asks for its rows by their places, so the join has as many rows as the evidence.
+    asked = placed.select(*[F.col(c) for c in placed.columns if c != "only"], place.alias("_place"))
+    given = rows.select("key", "grp", "_place", "seq", own.alias("_row"))
+    kept = [c for c in asked.columns if c != "_place"]
+    grouped = asked.join(given, ["key", "grp", "_place"]).groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("seq", "_row"))).alias("_rows"))
+    return grouped.withColumn("records", F.transform("_rows", lambda x: x["_row"])).drop("_rows")
 
 
 def flat_alerts(log: DataFrame, kind: str, params: Params = Params()) -> DataFrame:

@@ -1,10 +1,11 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from model import detect
 from pyspark.sql import functions as F
 
-from accessloom.functions.values import EVENTS, LOCATIONS, ORDER
+from accessloom.functions.values import EVENTS, LOCATIONS, ORDER, utc_text
 from accessloom.operators.detectors import DETECTORS, Params
 from accessloom.operators.evidence import SCHEMA, alerts, flat_alerts, lines, screen
 from accessloom.sources.log import FIELDS, clean
@@ -28,9 +29,18 @@ def rows_of(seed, span, draws):
     return out
 
 
-@pytest.fixture(scope="module", params=[(1, 5_000, 300), (3, 900_000, 700)])
+#: Moments far out that a log may name.
+FAR = (0, 10**15, (1 << 63) - 1)
+
+
+@pytest.fixture(scope="module", params=[(1, 5_000, 300, False), (3, 900_000, 700, False), (5, 60_000, 250, True)])
 def log(request, spark):
-    rows = [(*r, i) for i, r in enumerate(rows_of(*request.param))]
+    """Random logs; one also has rows at the ends of time and around them."""
+    made = rows_of(*request.param[:3])
+    if request.param[3]:
+        r = random.Random(6)
+        made += [(*row[:6], min(max(at - 40 + r.randrange(80), 0), FAR[-1])) for at in FAR for row in r.choices(made, k=60)]
+    rows = [(*r, i) for i, r in enumerate(made)]
     frame = clean(spark.createDataFrame(rows, ", ".join(f"{f} {'long' if f == 'timestamp' else 'string'}" for f in FIELDS) + ", pos long"))
     kept = spark.createDataFrame(frame.orderBy(*ORDER).toPandas())
     return kept.withColumns({"event_tag": F.col("event_tag").cast("byte"), "loc_tag": F.col("loc_tag").cast("byte")}).cache(), [r.asDict() for r in frame.orderBy(*ORDER).collect()]
@@ -40,7 +50,7 @@ def log(request, spark):
 def test_detectors_equal_the_sequential_model(log, kind):
     frame, rows = log
     found = None
-    for given in SETS.values():
+    for given in (SETS["default"], SETS["loose"]) if rows[-1]["timestamp"] == FAR[-1] else SETS.values():
         p = Params.of(**given)
         want = sorted((r["user"], r["device"], r["app"], r["resource"], r["location"], r["event_type"], r["timestamp"], min(x["timestamp"] for x in [*e, r]), max(x["timestamp"] for x in [*e, r]), c, len(e)) for r, c, e in detect(kind, rows, p))
         got = flat_alerts(frame, kind, p).select("user", "device", "app", "resource", "location", "event_type", "anchor_ts", "start_ts", "end_ts", "count", "n_records")
@@ -59,3 +69,23 @@ def test_records_and_forms(log):
         assert [x.timestamp for x in a.records] == [x["timestamp"] for x in by_anchor[a.end_timestamp, a.user]]
     assert screen(got).columns[0] == "type" and "reason" in lines(got).head()[0]
     assert SCHEMA.startswith("type") and alerts(frame, "none").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["A4", "B2", "C4", "D10"])
+def test_records_equal_the_sequential_model(log, kind):
+    frame, rows = log
+    p = Params.of(**SETS["loose"])
+    plain = lambda e: tuple((r["timestamp"], r["user"], r["event_type"], r["location"], r["cnt"]) for r in e)
+    got = sorted((a.user, a["count"], plain([x.asDict() for x in a.records])) for a in alerts(frame, kind, p).collect())
+    assert got == sorted((r["user"], c, plain(e)) for r, c, e in detect(kind, rows, p))
+
+
+def test_texts_of_any_moment(log):
+    frame, rows = log
+    found = {x.timestamp: x.text for x in frame.select("timestamp", utc_text(F.col("timestamp")).alias("text")).distinct().collect()}
+    assert {r["timestamp"] for r in rows} == set(found)
+    for at, text in found.items():
+        year, rest = text.split("-", 1)
+        assert len(year) >= 4 and (datetime(1970, 1, 1) + timedelta(seconds=at % 12_622_780_800)).strftime("%m-%dT%H:%M:%SZ") == rest
+        assert int(year) - at // 12_622_780_800 * 400 == (datetime(1970, 1, 1) + timedelta(seconds=at % 12_622_780_800)).year
+    assert lines(alerts(frame, "A7", Params.of(sessionSec=10))).count() >= 0
