@@ -92,3 +92,10 @@ def lines(rows: DataFrame) -> DataFrame:
     records = F.transform("records", lambda x: F.struct(x["event_type"].alias("eventType"), *[x[c].alias(c) for c in ("user", "device", "app", "resource", "location", "timestamp")], utc_text(x["timestamp"]).alias("timestampUtc"), x["cnt"].alias("count")))
     form = F.struct("type", "severity", "user", "timestamp", utc_text(F.col("timestamp")).alias("timestampUtc"), F.col("end_timestamp").alias("endTimestamp"), utc_text(F.col("end_timestamp")).alias("endTimestampUtc"), "count", F.col("detail").alias("reason"), records.alias("records"))
     return rows.select(F.to_json(form).alias("value"))
+
+
+def preview(log: DataFrame, kind: str, params: Params, cap: int) -> DataFrame:
+    """The first `cap` alerts, each with the exact total."""
+    total = flat_alerts(log, kind, params).count()
+    shown = alerts(log, kind, params).limit(cap).select("type", "severity", "user", "timestamp", "count", "detail", F.size("records").alias("n_records"))
+    return shown.withColumn("total", F.lit(total).cast("long"))

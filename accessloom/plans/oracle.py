@@ -5,7 +5,6 @@ Sliding windows are self-joins here, and slow brute force a recursive query, whe
 
 from __future__ import annotations
 
-from ..functions.geo import least_seconds
 from ..functions.values import EVENTS, LOCATIONS
 from ..operators.detectors import Params
 
@@ -24,6 +23,11 @@ log AS (SELECT g.*, uo.o AS usr_ord, dd.o AS dev_ord, ao.o AS app_ord, ro.o AS r
 u AS (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY {ORDER}) AS seq FROM log),
 d AS (SELECT *, row_number() OVER (PARTITION BY dev ORDER BY {ORDER}) AS seq FROM log),
 l AS (SELECT *, row_number() OVER (PARTITION BY loc ORDER BY {ORDER}) AS seq FROM log WHERE loc <> 'UNKNOWN')"""
+# Hours ahead of UTC, and latitude and longitude.
+HOURS = "'US': -5, 'CA': -5, 'BR': -3, 'UK': 0, 'DE': 1, 'FR': 1, 'RU': 3, 'IN': 5.5, 'VN': 7, 'TH': 7, 'SG': 8, 'CN': 8, 'JP': 9, 'KR': 9, 'AU': 10"
+PLACES = """('US', 39.8283, -98.5795), ('CA', 56.1304, -106.3468), ('BR', -14.2350, -51.9253), ('UK', 55.3781, -3.4360), ('DE', 51.1657, 10.4515),
+  ('FR', 46.2276, 2.2137), ('RU', 61.5240, 105.3188), ('IN', 20.5937, 78.9629), ('VN', 14.0583, 108.2772), ('TH', 15.8700, 100.9925),
+  ('SG', 1.3521, 103.8198), ('CN', 35.8617, 104.1954), ('JP', 36.2048, 138.2529), ('KR', 35.9078, 127.7669), ('AU', -25.2744, 133.7751)"""
 TOUCHING = "('ACCESS', 'DOWNLOAD', 'OPEN_APP', 'ADMIN_ACTION')"
 
 
@@ -68,16 +72,16 @@ a AS (SELECT s.*, coalesce(t.total, 0) AS c, 0 AS lo FROM s LEFT JOIN t ON t.usr
 ev2 AS (SELECT usr, g AS g, seq, ts FROM f UNION ALL SELECT usr, g - 1, seq, ts FROM a)"""
         return _alerts(steps, "ev2", "e.usr = a.usr AND e.g = a.g - 1 AND e.seq <= a.seq")
     if kind == "A4":
-        from ..functions.geo import OFFSETS
-
-        offset = "CASE loc " + " ".join(f"WHEN '{k}' THEN {v * 60}" for k, v in OFFSETS.items()) + " ELSE 0 END"
+        offset = f"CAST(coalesce(MAP {{{HOURS}}}[loc], 0) * 3600 AS BIGINT)"
         outside = f"h < {p.startHour} OR h >= {p.endHour}" if p.startHour <= p.endHour else f"h < {p.startHour} AND h >= {p.endHour}"
-        steps = f"""h AS (SELECT *, (((ts + {offset}) % 86400 + 86400) % 86400) // 3600 AS h FROM u),
+        steps = f"""h AS (SELECT *, CAST((((ts + {offset}) % 86400 + 86400) % 86400) // 3600 AS BIGINT) AS h FROM u),
 a AS (SELECT *, h AS c, 0 AS lo FROM h WHERE {outside})"""
         return _alerts(steps, "u", "e.usr = a.usr AND e.seq = a.seq")
     if kind == "A5":
-        pairs = ", ".join(f"('{a}', '{b}', {s})" for (a, b), s in least_seconds().items())
-        steps = f"""travel(origin, target, sec) AS (VALUES {pairs}),
+        steps = f"""place(c, lat, lon) AS (VALUES {PLACES}),
+xyz AS (SELECT c, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM place),
+travel AS (SELECT a.c AS origin, b.c AS target, CAST(ceil((6371 * 2 * asin(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2) / 900 + 2) * 3600) AS BIGINT) AS sec
+  FROM xyz a JOIN xyz b ON a.c <> b.c WHERE least(a.c, b.c) || greatest(a.c, b.c) NOT IN ('CAUS', 'CNVN', 'CNIN', 'CNRU', 'DEFR')),
 k AS (SELECT *, lag(loc) OVER w AS origin, lag(ts) OVER w AS pts, lag(seq) OVER w AS lo FROM u WHERE loc <> 'UNKNOWN' WINDOW w AS (PARTITION BY usr ORDER BY seq)),
 a AS (SELECT k.*, ts - pts AS c FROM k JOIN travel ON k.origin = travel.origin AND k.loc = travel.target WHERE ts - pts < sec)"""
         return _alerts(steps, "k", "e.usr = a.usr AND e.seq IN (a.lo, a.seq)")
@@ -157,6 +161,53 @@ a AS (SELECT r.*, t.c, 0 AS lo FROM r JOIN t ON r.usr = t.usr AND r.seq = t.seq
     return _alerts(steps, "r", "e.usr = a.usr")
 
 
+#: Lines of a raw file made from the events, some of them faulty; `value` and `pos` as a scan gives them.
+RAW = r"""raw AS (SELECT pos, CASE pos % 16 WHEN 1 THEN line || ',' WHEN 2 THEN replace(line, ',', ';') WHEN 3 THEN line || 'x' WHEN 4 THEN lower(line) WHEN 5 THEN ' ' || line
+    WHEN 6 THEN 'U18446744073709551616' || substr(line, strpos(line, ',')) WHEN 7 THEN 'U018446744073709551615' || substr(line, strpos(line, ',')) WHEN 8 THEN replace(line, ',APP', ',') WHEN 9 THEN line || '00000000000000'
+    WHEN 10 THEN '"' || line WHEN 11 THEN ',,,,,,7' WHEN 12 THEN replace(line, ',R', ',Rx') WHEN 13 THEN line || '.0' ELSE line END AS value
+  FROM (SELECT pos, usr || ',' || dev || ',' || app || ',' || res || ',' || ev || ',' || loc || ',' || ts AS line FROM m))"""
+
+_ID = lambda i, prefix, kind: f"CASE WHEN regexp_full_match(f[{i}], '{prefix}[0-9]+') AND try_cast(substr(f[{i}], {len(prefix) + 1}) AS UBIGINT) IS NOT NULL THEN f[{i}] ELSE 'UNKNOWN_{kind}' END"
+
+PARSED = f"""p AS (SELECT pos, f, len(f) = 7 AND regexp_full_match(f[7], '[0-9]+') AND try_cast(f[7] AS UBIGINT) IS NOT NULL AS good, try_cast(f[7] AS BIGINT) AS seconds,
+    {_ID(1, "U", "USER")} AS usr, {_ID(2, "D", "DEVICE")} AS dev, {_ID(3, "APP", "APP")} AS app, {_ID(4, "R", "RESOURCE")} AS res,
+    CASE WHEN f[5] IN ({", ".join(f"'{e}'" for e in EVENTS)}) THEN f[5] ELSE 'UNKNOWN' END AS ev, CASE WHEN f[6] IN ({", ".join(f"'{x}'" for x in LOCATIONS)}) THEN f[6] ELSE 'UNKNOWN' END AS loc
+  FROM (SELECT pos, string_split(value, ',') AS f FROM raw)),
+k AS (SELECT *, good AND seconds IS NOT NULL AS accepted, good AND (usr LIKE 'UNK%' OR dev LIKE 'UNK%' OR app LIKE 'UNK%' OR res LIKE 'UNK%' OR ev = 'UNKNOWN' OR loc = 'UNKNOWN') AS replaced FROM p)"""
+
+
+def _records(kind: str, p: Params) -> str:
+    """Alerts of login bursts or failed streaks, with their evidence joined to one text."""
+    if kind == "A8":
+        steps = f"""r AS (SELECT * FROM u WHERE ev = 'LOGIN'),
+w AS (SELECT r.*, (SELECT sum(b.cnt) FROM r b WHERE b.usr = r.usr AND b.seq <= r.seq AND b.ts >= r.ts - {p.windowSec}) AS c FROM r),
+x AS (SELECT *, lag(c) OVER (PARTITION BY usr ORDER BY seq) AS before FROM w),
+a AS (SELECT * FROM x WHERE c >= {p.n} AND (before IS NULL OR before < {p.n}))"""
+        rows, meets, severity, text = "r", f"e.usr = a.usr AND e.seq <= a.seq AND e.ts >= a.ts - {p.windowSec}", "medium", "' logins within the window'"
+    else:
+        steps = f"""{_STREAKS},
+a AS (SELECT *, run AS c FROM f WHERE run >= {p.n} AND run - cnt < {p.n})"""
+        rows, meets, severity, text = "f", "e.usr = a.usr AND e.g = a.g AND e.seq <= a.seq", "medium", "' failed logins in a row'"
+    utc = "strftime(epoch_ms({0} * 1000), '%Y-%m-%dT%H:%M:%SZ')".format
+    fields = lambda t: f"'{{\"eventType\":\"' || {t}.ev || '\",\"user\":\"' || {t}.usr || '\",\"device\":\"' || {t}.dev || '\",\"app\":\"' || {t}.app || '\",\"resource\":\"' || {t}.res || '\",\"location\":\"' || {t}.loc || '\",\"timestamp\":' || {t}.ts || ',\"timestampUtc\":\"' || {utc(t + '.ts')} || '\",\"count\":' || {t}.cnt || '}}'"
+    return f"""{steps},
+al AS (SELECT '{kind}' AS type, '{severity}' AS severity, a.usr AS "user", a.usr_ord, a.dev_ord, a.app_ord, a.res_ord, a.ev_tag, a.loc_tag, a.ts, a.seq, min(e.ts) AS t0, max(e.ts) AS t1, CAST(a.c AS BIGINT) AS count,
+  a.c || {text} AS reason, string_agg({fields("e")}, ',' ORDER BY e.seq) AS records FROM a JOIN {rows} e ON {meets} GROUP BY ALL)"""
+
+
+def _lines(kind: str, p: Params) -> str:
+    utc = "strftime(epoch_ms({0} * 1000), '%Y-%m-%dT%H:%M:%SZ')".format
+    return f"""WITH {LOG}, {_records(kind, p)}
+SELECT '{{"type":"' || type || '","severity":"' || severity || '","user":"' || "user" || '","timestamp":' || t0 || ',"timestampUtc":"' || {utc("t0")} || '","endTimestamp":' || t1 || ',"endTimestampUtc":"' || {utc("t1")}
+  || '","count":' || count || ',"reason":"' || reason || '","records":[' || records || ']}}' AS value FROM al"""
+
+
+def _preview(kind: str, p: Params, cap: int) -> str:
+    return f"""WITH {LOG}, {_records(kind, p)}
+SELECT (SELECT count(*) FROM al) AS total, type, severity, "user", t0 AS "timestamp", count, reason AS detail, CAST(len(string_split(records, '}},')) AS INTEGER) AS n_records
+FROM al ORDER BY usr_ord, t0, usr_ord, dev_ord, app_ord, res_ord, ev_tag, loc_tag LIMIT {cap}"""
+
+
 def all_sql(settings: dict[str, dict[str, int]]) -> dict[str, str]:
     row = 'SELECT ts AS "timestamp", usr AS "user", dev AS device, app, res AS resource, ev AS event_type, loc AS location, cnt AS count FROM log'
     found = {
@@ -167,4 +218,12 @@ def all_sql(settings: dict[str, dict[str, int]]) -> dict[str, str]:
         "s8_clean_log": f"""WITH {LOG} SELECT usr AS "user", dev AS device, app, res AS resource, ev AS event_type, loc AS location, ts AS "timestamp", cnt,
   usr_ord AS user_ord, dev_ord AS device_ord, app_ord, res_ord AS resource_ord, CAST(ev_tag AS TINYINT) AS event_tag, CAST(loc_tag AS TINYINT) AS loc_tag FROM log""",
     }
+    found |= {
+        "s5_parsed_lines": f"""WITH {LOG}, {RAW}, {PARSED} SELECT pos, accepted, replaced, good AND seconds IS NULL AS beyond, usr AS "user", dev AS device, app, res AS resource, ev AS event_type, loc AS location, CASE WHEN regexp_full_match(f[7], '[0-9]+') THEN seconds END AS "timestamp" FROM k""",
+        "s1_ingested_log": f"""WITH {LOG}, {RAW}, {PARSED} SELECT usr AS "user", dev AS device, app, res AS resource, ev AS event_type, loc AS location, seconds AS "timestamp", count(*) AS cnt FROM k WHERE accepted GROUP BY ALL""",
+        "s5_counters": f"""WITH {LOG}, {RAW}, {PARSED} SELECT count(*) AS "totalRead", count(*) FILTER (WHERE NOT accepted) AS skipped, count(*) FILTER (WHERE accepted AND replaced) AS replaced, count(*) FILTER (WHERE good AND seconds IS NULL) AS "outOfRange" FROM k""",
+        "s17_alert_lines": _lines("A8", Params.of(**settings["A8"])),
+        "s17_streak_lines": _lines("A2", Params.of(**settings["A2"])),
+        "q6_preview": _preview("A8", Params.of(**settings["A8"]), 25),
+    }
     return found | {f"{k.lower()}_alerts": _sql(k, Params.of(**v)) for k, v in settings.items()}

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import lookups
 from .operators.detectors import Params
-from .operators.evidence import flat_alerts
+from .operators.evidence import alerts, flat_alerts, lines, preview
 from .plans import oracle
-from .sources.log import COLUMNS, events_log
+from .sources.csvlog import counters, parsed
+from .sources.log import COLUMNS, FIELDS, clean, events_log, raw_events
 
 #: Parameters under which every detector finds something in the mapped events.
 SETTINGS = {
@@ -33,6 +34,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q4_stats": lambda s, d: lookups.stats(events_log(s, d)),
         "s8_clean_log": lambda s, d: events_log(s, d).select(*COLUMNS),
     }
+    found |= {
+        "s5_parsed_lines": lambda s, d: parsed(raw_events(s, d)).select("pos", "accepted", "replaced", "beyond", *FIELDS),
+        "s1_ingested_log": lambda s, d: clean(parsed(raw_events(s, d)).where("accepted")).select(*FIELDS, "cnt"),
+        "s5_counters": lambda s, d: (lambda rows: rows.agg(*counters(rows)))(parsed(raw_events(s, d))),
+        "s17_alert_lines": lambda s, d: lines(alerts(events_log(s, d), "A8", Params.of(**SETTINGS["A8"]))),
+        "s17_streak_lines": lambda s, d: lines(alerts(events_log(s, d), "A2", Params.of(**SETTINGS["A2"]))),
+        "q6_preview": lambda s, d: preview(events_log(s, d), "A8", Params.of(**SETTINGS["A8"]), 25),
+    }
     return found | {f"{kind.lower()}_alerts": _detector(kind) for kind in SETTINGS}
 
 

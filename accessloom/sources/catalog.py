@@ -14,13 +14,18 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import ORDER
 from ..operators import lookups
 from ..operators.detectors import DETECTORS, Params
-from ..operators.evidence import alerts, lines, screen
+from ..operators.evidence import alerts, flat_alerts, lines, screen
 from .csvlog import COUNTERS, counters, parsed, raw_lines
 from .log import FIELDS, clean
 
 PREVIEW, FILE_PREVIEW = 500, 500
+#: Lines from which a file's number of rows is estimated, and what is allowed for besides.
+SAMPLE, SPARE = 4096, 1.03
+#: Layouts of a log, by what its files are ordered by first. Each lookup reads the one in which its rows lie together.
+LAYOUTS = {"log": ("timestamp",), "by-user": ("user", *ORDER), "by-resource": ("resource", *ORDER)}
 EMPTY_STATS = dict.fromkeys(("users", "devices", "apps", "resources", "records", "totalRead", "skipped", "replaced", "duplicates"), 0)
 
 
@@ -89,35 +94,73 @@ class Catalog:
     def loaded(self) -> list[str]:
         return [n[:-5] for n in self.files.names(self.store) if n.endswith(".csv.json") and self.manifest(n[:-5])]
 
-    def load(self, name: str, fresh: bool = False, **physical) -> dict:
-        """Loads a file, or takes what is loaded already unless `fresh`. `physical` options (sort mode, parallel parsing, checkpoints) change nothing here."""
+    def estimated_rows(self, name: str) -> int:
+        """Rows that a file has by its size, from the length of its first lines."""
+        size = self.sources.stamp(f"{self.data}/{self._named(name)}")[0]
+        lines = self.spark.read.option("lineSep", "\n").text(f"{self.data}/{name}").limit(SAMPLE).agg(F.avg(F.octet_length("value") + 1)).head()[0]
+        return int(size / lines * SPARE) if lines else 0
+
+    def _checkpoint(self, name: str, source: tuple[int, int]) -> dict | None:
+        """What an unfinished load of this very file has parsed: the folder and its counters."""
+        text = self.files.read(f"{self.store}/{name}.import")
+        found = json.loads(text) if text else None
+        return found if found and found["source"] == list(source) else None
+
+    def _parse(self, name: str, folder: str) -> dict[str, int]:
+        seen = Observation()
+        rows = parsed(raw_lines(self.spark, f"{self.data}/{name}"))
+        rows.observe(seen, *counters(rows)).where("accepted").select(*FIELDS, "pos").write.parquet(f"{folder}/accepted")
+        return {k: seen.get[k] for k in COUNTERS}
+
+    def load(self, name: str, fresh: bool = False, resume: bool = True, keep: bool = True, **physical) -> dict:
+        """Loads a file, or takes what is loaded already unless `fresh`.
+
+        The parsed rows are a checkpoint: a load that failed after them goes on from there if `resume`. With `keep` false
+        the log is not found again by its name, as if only this answer were wanted. `physical` options (sort mode, parallel
+        parsing, rows between checkpoints) change nothing here.
+        """
         if not fresh and (found := self.manifest(name)):
             return found | {"fromCache": True}
         began, source = time.time(), self.sources.stamp(f"{self.data}/{self._named(name)}")
         if source is None:
             raise FileNotFoundError(name)
-        folder = f"{self.store}/{name}-{uuid.uuid4().hex}"
-        seen = Observation()
-        rows = parsed(raw_lines(self.spark, f"{self.data}/{name}"))
-        rows.observe(seen, *counters(rows)).where("accepted").select(*FIELDS, "pos").write.parquet(f"{folder}/accepted")
-        accepted = self.spark.read.parquet(f"{folder}/accepted")
-        # By time, so that a time range reads few row groups.
-        clean(accepted).repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.parquet(f"{folder}/log")
-        self.files.remove(f"{folder}/accepted")
-        numbers = lookups.stats(self.spark.read.parquet(f"{folder}/log")).head().asDict()
-        counts = {k: seen.get[k] for k in COUNTERS}
+        before = self._checkpoint(name, source)
+        resumed = bool(resume and before)
+        folder = before["folder"] if resumed else f"{self.store}/{name}-{uuid.uuid4().hex}"
+        counts = before["counts"] if resumed else self._parse(name, folder)
+        if not resumed:
+            if before:
+                self.files.remove(before["folder"])
+            self.files.write(f"{self.store}/{name}.import", json.dumps({"folder": folder, "source": list(source), "counts": counts}))
+        parsed_at = time.time()
+        cleaned = clean(self.spark.read.parquet(f"{folder}/accepted"))
+        cleaned.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.mode("overwrite").parquet(f"{folder}/log")
+        log = self.spark.read.parquet(f"{folder}/log")
+        cleaned_at = time.time()
+        for layout, order in LAYOUTS.items():
+            if layout != "log":
+                log.repartitionByRange(*order[:2]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{layout}")
+        numbers = lookups.stats(log).head().asDict()
         taken = numbers.pop("accepted")
         stats = numbers | {k: counts[k] for k in ("totalRead", "skipped", "replaced")} | {"duplicates": taken - numbers["records"]}
-        found = {"name": name, "log": f"{folder}/log", "source": list(source), "stats": stats, "outOfRange": counts["outOfRange"], "loadMs": int((time.time() - began) * 1000)}
+        ms = {"parse": parsed_at - began, "clean": cleaned_at - parsed_at, "layouts": time.time() - cleaned_at}
+        found = {"name": name, "log": f"{folder}/log", "source": list(source), "stats": stats, "outOfRange": counts["outOfRange"], "estimatedRows": self.estimated_rows(name), "resumed": resumed, "loadMs": int((time.time() - began) * 1000), "ms": {k: int(v * 1000) for k, v in ms.items()}}
+        self.files.remove(f"{folder}/accepted")
+        if not keep:
+            self.files.remove(folder)
+            self.files.remove(f"{self.store}/{name}.import")
+            return found | {"fromCache": False}
         old = self.files.read(f"{self.store}/{name}.json")
         self.files.write(f"{self.store}/{name}.json", json.dumps(found))
+        self.files.remove(f"{self.store}/{name}.import")
         if old:
             self.files.remove(json.loads(old)["log"].rpartition("/")[0])
         return found | {"fromCache": False}
 
-    def log(self, name: str) -> DataFrame | None:
+    def log(self, name: str, layout: str = "log") -> DataFrame | None:
+        """A loaded log, in the layout of LAYOUTS that suits what is asked of it."""
         found = self.manifest(name)
-        return self.spark.read.parquet(found["log"]) if found else None
+        return self.spark.read.parquet(f"{found['log'].rpartition('/')[0]}/{layout}") if found else None
 
     def stats(self, name: str) -> dict:
         found = self.manifest(name)
@@ -128,14 +171,17 @@ class Catalog:
         log = self.log(name)
         if log is None:
             return {"total": 0, "alerts": []}
-        found = alerts(log, kind, params)
-        out: dict = {}
         if to_file and kind in DETECTORS:
-            out["file"] = f"anomaly_{kind}_{int(time.time() * 1000)}.jsonl"
-            lines(found).write.text(f"{self.store}/alerts/{out['file']}")
-        out["total"] = found.count()
-        out["alerts"] = [] if to_file else [json.loads(r[0]) for r in screen(found).limit(PREVIEW).select(F.to_json(F.struct("*"))).collect()]
-        return out
+            seen, file = Observation(), f"anomaly_{kind}_{int(time.time() * 1000)}.jsonl"
+            # Counted as they are written, so alerts are sought once.
+            lines(alerts(log, kind, params)).observe(seen, F.count("*").alias("n")).write.text(f"{self.store}/alerts/{file}")
+            return {"file": file, "total": seen.get["n"], "alerts": []}
+        if to_file or kind not in DETECTORS:
+            return {"total": 0, "alerts": []}
+        shown = [r[0] for r in screen(alerts(log, kind, params)).limit(PREVIEW + 1).select(F.to_json(F.struct("*"))).collect()]
+        # A preview that isn't full tells the total; else it is counted without the evidence.
+        total = len(shown) if len(shown) <= PREVIEW else flat_alerts(log, kind, params).count()
+        return {"total": total, "alerts": [json.loads(r) for r in shown[:PREVIEW]]}
 
     def alert_files(self) -> list[str]:
         return [n for n in self.files.names(f"{self.store}/alerts") if re.fullmatch(r"anomaly_.*\.jsonl", n)]

@@ -14,11 +14,14 @@ COLUMNS = (*FIELDS, "cnt", "user_ord", "device_ord", "app_ord", "resource_ord",
 def clean(accepted: DataFrame) -> DataFrame:
     """The clean log of accepted rows (FIELDS and `pos`, the place in the file).
 
-    Ids rank by first appearance, for which the place of their first row does: no table is numbered in one task.
+    Ids rank by first appearance, for which the place of their first row does: no table is numbered in one task. Rows are
+    read once, to be merged; the small tables of first places are made from the merged rows, of which one shuffle serves
+    all. (The filter keeps every reader of it asking for the same columns.)
     """
-    merged = accepted.groupBy(*FIELDS).agg(F.count("*").alias("cnt"))
+    rows = accepted.groupBy(*FIELDS).agg(F.count("*").alias("cnt"), F.min("pos").alias("pos")).where("cnt > 0")
+    merged = rows
     for kind in PREFIXES:
-        merged = merged.join(accepted.groupBy(kind).agg(F.min("pos").alias(f"{kind}_ord")), kind)
+        merged = merged.join(rows.groupBy(kind).agg(F.min("pos").alias(f"{kind}_ord")), kind)
     return merged.withColumns({"event_tag": rank_of(F.col("event_type"), EVENTS), "loc_tag": rank_of(F.col("location"), LOCATIONS)}).select(*COLUMNS)
 
 
@@ -49,3 +52,17 @@ def mapped(events: DataFrame) -> DataFrame:
         F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("timestamp"),
         e.alias("pos"),
     )
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a raw file (`value`, `pos`) made from the events table, of which most have one fault of those that files have."""
+    rows = mapped(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    line, at = F.concat_ws(",", *[F.col(c).cast("string") for c in FIELDS]), F.col("pos") % 16
+    after = F.substr("line", F.instr("line", ","))
+    faults = {
+        1: F.concat("line", F.lit(",")), 2: F.replace("line", F.lit(","), F.lit(";")), 3: F.concat("line", F.lit("x")), 4: F.lower("line"), 5: F.concat(F.lit(" "), "line"),
+        6: F.concat(F.lit("U18446744073709551616"), after), 7: F.concat(F.lit("U018446744073709551615"), after), 8: F.replace("line", F.lit(",APP"), F.lit(",")), 9: F.concat("line", F.lit("00000000000000")),
+        10: F.concat(F.lit('"'), "line"), 11: F.lit(",,,,,,7"), 12: F.replace("line", F.lit(",R"), F.lit(",Rx")), 13: F.concat("line", F.lit(".0")),
+    }
+    forms = F.array(*[faults.get(n, F.col("line")) for n in range(16)])
+    return rows.select("pos", line.alias("line")).select(F.get(forms, at.cast("int")).alias("value"), "pos")

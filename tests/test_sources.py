@@ -69,17 +69,41 @@ def test_catalog(catalog, tmp_path):
     assert catalog.anomalies("a.csv", "none")["total"] == 0
     with pytest.raises(ValueError, match="path"):
         catalog.alert_file("../a.csv.json")
+    by_user, by_resource = (catalog.log("a.csv", layout) for layout in ("by-user", "by-resource"))
+    assert by_user.count() == by_resource.count() == 9 and [(r.timestamp, r["count"]) for r in lookups.user_journey(by_user, "U1").collect()] == [(5, 3), (9, 1), (11, 1)]
     (tmp_path / "data" / "a.csv").write_text("h\n" + GOOD)
     assert catalog.loaded() == [] and catalog.load("a.csv")["stats"]["records"] == 1
     assert catalog.load("b.csv")["stats"]["records"] == 0
 
 
+def test_loads_resume_after_the_parsed_rows(catalog, monkeypatch):
+    """A load that fails after its checkpoint goes on from there; one that failed before, or of a file changed since, starts over."""
+    parse, calls = Catalog._parse, []
+    monkeypatch.setattr(Catalog, "_parse", lambda self, *a: calls.append(a) or parse(self, *a))
+    monkeypatch.setattr("accessloom.sources.catalog.clean", lambda rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        catalog.load("a.csv")
+    assert catalog.loaded() == [] and catalog.manifest("a.csv") is None
+    monkeypatch.undo()
+    monkeypatch.setattr(Catalog, "_parse", lambda self, *a: calls.append(a) or parse(self, *a))
+    found = catalog.load("a.csv")
+    assert len(calls) == 1 and found["resumed"] and found["stats"]["records"] == 9 and found["stats"]["totalRead"] == 18
+    assert 0 < found["estimatedRows"] < 40 and set(found["ms"]) == {"parse", "clean", "layouts"}
+    again = catalog.load("a.csv", fresh=True)
+    assert len(calls) == 2 and not again["resumed"] and again["stats"] == found["stats"]
+    assert catalog.load("b.csv", keep=False)["stats"]["records"] == 0 and catalog.loaded() == ["a.csv"]
+    left = catalog.files.names(catalog.store)
+    assert sum(n.startswith("a.csv-") for n in left) == 1 and not any(n.startswith("b.csv") or n.endswith(".import") for n in left)
+
+
 def test_http(catalog):
     run = http.server(catalog)
     threading.Thread(target=run.serve_forever, daemon=True).start()
     ask = lambda path: json.loads(urllib.request.urlopen(f"http://127.0.0.1:{run.server_port}{path}").read())
     try:
-        assert ask("/api/load-dataset?file=a.csv")["success"] and not ask("/api/load-dataset?file=x.csv")["success"]
+        assert "<form" in urllib.request.urlopen(f"http://127.0.0.1:{run.server_port}/").read().decode()
+        assert ask(f"/api/query-user?loadedFile=a.csv&userId=U1&startTime={'9' * 5000}")["success"]
+        assert ask("/api/load-dataset?file=a.csv&sortMode=radix&saveCache=1&resumeCheckpoint=0&parallelCsv=1&checkpointRows=9")["success"] and not ask("/api/load-dataset?file=x.csv")["success"]
         assert [r["timestamp"] for r in ask("/api/query-user?loadedFile=a.csv&userId=U1&startTime=6")["data"]] == [9, 11]
         assert ask("/api/query-user?loadedFile=none.csv&userId=U1") == {"success": True, "data": []}
         assert not ask("/api/query-top?loadedFile=a.csv&startTime=3&endTime=2")["success"]
