@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,14 +68,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with its columns of these names, which an operator needs for itself, under other names; and what gives them theirs back."""
+    new = {c: f"{c}{'+' * (i + 1)}{uuid.uuid4().hex[:6]}" for i, c in enumerate(c for c in df.columns if c in names)}
+    return df.withColumnsRenamed(new), lambda out: out.withColumnsRenamed({v: k for k, v in new.items()})
 
-def with_row_key(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds `_k`, a 128-bit digest of (doc_id, text) that tells null from every value.
 
-    Rows equal in both columns share a key, and so share every decision taken on it.
-    """
-    parts = F.concat_ws("\x1f", F.when(F.col(doc).isNull(), "n").otherwise("v"), F.col(doc).cast("string"), F.when(F.col(text).isNull(), "n").otherwise("v"), F.col(text))
-    return df.withColumn("_k", F.unhex(F.md5(parts.cast("binary"))))
+def text_or_empty(name: str = "text") -> Column:
+    return F.coalesce(F.col(name), F.lit(""))

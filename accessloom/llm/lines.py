@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .common import aside, cut, table, written
 
 #: Words from which lines are compared within one edit; in shorter ones one edit changes more than a fifth.
 LEAST = 5
@@ -151,10 +151,10 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
     Earliest is by doc_id, then the text's hash, then position. Lines without words stay. Of a text whose lines are all
     repeats, nothing stays: it is empty. A null text stays null and has no lines; null doc_ids come last. Of rows equal in
     doc_id and text the first by a hash of all columns keeps the lines, and the others lose theirs. Lines and texts may be
-    of any length; an empty table gives no rows; other columns pass through (n_lines and n_dropped are replaced; names
-    that begin and end with _ are kept free here and can't be columns of `docs`).
+    of any length; an empty table gives no rows; other columns pass through, whatever their names (n_lines and n_dropped
+    are replaced).
     """
-    base = docs.drop("n_lines", "n_dropped")
+    base, back = aside(docs.drop("n_lines", "n_dropped"), "_doc_", "_text_", "_hash_", "_all_", "_of_", "_in_", "_kept_", "_least_", "_n_", "_i_")
     keyed = _keyed(base.select(F.col(doc).alias("_doc_"), F.col(text).alias("_text_")), "_doc_", "_text_")
     hashed = keyed.select("doc", "text_hash", "_text_").mapInArrow(lambda b: _hashed(b, least, False), "h1 long, h2 long, doc long, text_hash long, line int, halves array<long>")
     distinct = written(hashed.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.first("halves").alias("halves")), "distinct-lines")
@@ -192,7 +192,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
                 columns[at] = pa.array(texts, batch.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, schema)
+    return back(joined.mapInArrow(run, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

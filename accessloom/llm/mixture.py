@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, aside, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -86,12 +86,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
 
     `taken` counts the words of all the document's occurrences in the first `target` words of its source's
     stream: whole epochs plus, for one document of a source, the part up to the target. Nulls: a null text has
-    no words and is taken 0 times; null sources are one source, last; null or repeated doc_ids are ordered by
-    text, and rows equal in all of these may swap places, which leaves the result the same. An empty table gives
-    no rows. Columns of `docs` other than those added here pass through.
+    no words and is taken 0 times; null sources are one source, last; null or repeated doc_ids are ordered by size and
+    text, and rows equal in all of these may swap places, which leaves the result the same. Texts of any length are counted
+    whole; sources that fill up at one level do so in the order of their ranks. An empty table gives no rows. Columns of
+    `docs` pass through, whatever their names, but for those named like the ones added.
     """
-    docs = docs.drop("source_rank", "source_size", "target", "taken", "_place")
-    sized = docs.withColumn("size", words() if size is None else size).withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    docs, back = aside(docs.drop("size", "source_rank", "source_size", "target", "taken", "_place"), "_h", "_b", "_s", "_part", "_offset", "_run")
+    sized = docs.withColumn("size", words() if size is None else size).withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.coalesce(F.xxhash64("text").cast("string"), F.lit("")))).cast("binary")))
     sized = sized.withColumn("_b", F.substring("_h", 1, DIGITS)).withColumn("_s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
     parts = sized.groupBy("source", "_s", "_b").agg(F.sum("size").alias("_part"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("_part").alias("source_size")), weights, max_epochs)
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
     placed = placed.withColumn("_place", F.col("_offset") + F.col("_run"))
     goal = F.round("target").cast("long")
     taken = sum((F.least(F.greatest(goal - F.col("source_size") * e - F.col("_place"), F.lit(0)), F.col("size")) for e in range(max_epochs)), F.lit(0))
-    return placed.withColumn("taken", taken.cast("long")).drop("_h", "_b", "_s", "_part", "_offset", "_run")
+    return back(placed.withColumn("taken", taken.cast("long")).drop("_h", "_b", "_s", "_part", "_offset", "_run"))
 
 
 def occurrences(mixed: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -112,11 +113,12 @@ def occurrences(mixed: DataFrame, schedules: Sequence[Sequence[tuple[float, floa
 
     Sorted by position across ranges of partitions: reading the partitions in order gives the curriculum.
     """
+    mixed, back = aside(mixed.drop("words_taken", "position"), "_e")
     epochs = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.struct(e.alias("e"), F.least(F.greatest(F.round("target").cast("long") - F.col("source_size") * e - F.col("_place"), F.lit(0)), F.col("size")).alias("n")))
     each = mixed.withColumn("_e", F.explode(F.filter(epochs, lambda x: x["n"] > 0)))
     at = (F.col("source_size") * F.col("_e.e") + F.col("_place")).cast("double")
     each = each.withColumn("words_taken", F.col("_e.n")).withColumn("position", position(at, F.col("target"), schedule_of(F.col("source_rank"), schedules))).drop("_e")
-    return in_order(each, "position")
+    return in_order(back(each), "position")
 
 
 def in_order(rows: DataFrame, by: str) -> DataFrame:
@@ -136,6 +138,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position"), "first_position")
 
 
+#: For tables whose ids are not null: those without one are placed by a hash that DuckDB lacks.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .common import aside, cut, table, written
 
 LIMIT = 64 << 20
 #: Bits of the first histogram beyond log2(total / limit), and bits that each further round adds.
@@ -81,7 +81,8 @@ def shard(docs: DataFrame, limit: int = LIMIT, doc: str = "doc_id", text: str =
     """(doc_id, bytes, shard, depth, shard_bytes): the shard (a hash prefix) of every row; one row per input row.
 
     Nulls: a null text has no bytes; null doc_ids hash by their text. Repeated rows may part ways, which leaves the
-    shards' sizes as they are. An empty table gives no rows. Other columns aren't returned; `write` keeps them.
+    shards' sizes as they are; which of them goes where is a tie that their places in the table settle. A text longer than
+    the limit has a shard to itself. An empty table gives no rows. Other columns aren't returned; `write` keeps them.
     """
     marks = cut(_marked(docs, doc, text).select(F.col(doc).alias("doc_id"), "bytes", "_h", "_at"))
     return _placed(marks, marks, limit).select("doc_id", "bytes", "shard", "depth", "shard_bytes")
@@ -93,9 +94,10 @@ def write(docs: DataFrame, path: str, limit: int = LIMIT, doc: str = "doc_id", t
     Marked rows are written before, so that a row has the same place for the directory as when it is dealt. Columns named
     bytes, shard, depth and shard_bytes are left out.
     """
-    whole = written(_marked(docs.drop("bytes", "shard", "depth", "shard_bytes"), doc, text), "marked")
+    docs, back = aside(docs.drop("bytes", "shard", "depth", "shard_bytes"), "_h", "_at", "_path")
+    whole = written(_marked(docs, doc, text), "marked")
     marks = whole.select("bytes", "_h", "_at")
-    _placed(whole, marks, limit).drop("bytes", "depth", "shard_bytes").repartition("shard").write.partitionBy("shard").parquet(path)
+    back(_placed(whole, marks, limit).drop("bytes", "depth", "shard_bytes")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

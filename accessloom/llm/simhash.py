@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alike
-from .common import cut, table, written
+from .common import aside, cut, table, written
 from .components import components
 from .groups import forest, run_bounds, whole_runs
 
@@ -196,17 +196,17 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: in
 
     `similarity` links by the Jaccard similarity of shingle sets, so many of so many, instead of by `distance`: such texts may differ
     in more bits than the positional bytes can vouch for, so they are sought as told in `alike`. Null and empty texts are alike;
-    texts of any length are read whole; an empty table gives no rows; other columns pass through (names that begin and end
-    with _ are kept free).
+    texts of any length are read whole; an empty table gives no rows; other columns pass through, whatever their names.
     """
+    docs, back = aside(docs, "_hash_", "_doc_", "_d", "_t", "_whole_")
     named = docs.withColumn("_hash_", F.xxhash64(text)).withColumn("_doc_", F.col(doc).cast("long"))
     if similarity:
-        return rows_of_first(docs, named, alike.classes(docs, named, text, width, similarity))
+        return back(rows_of_first(docs, named, alike.classes(docs, named, text, width, similarity)))
     light = fingerprints(named.select("_doc_", "_hash_", F.col(text).alias("text")), ["_doc_", "_hash_"], width=width)
     marked = written(light, "fingerprints")
     place = F.struct(F.col("_doc_").isNull().alias("unnamed"), "_doc_", "_hash_")
     distinct = cut(marked.groupBy("fp").agg(F.min(place).alias("first")))
-    return rows_of_first(docs, named, _classes(distinct, distance).groupBy("component").agg(F.min("first").alias("first")))
+    return back(rows_of_first(docs, named, _classes(distinct, distance).groupBy("component").agg(F.min("first").alias("first"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

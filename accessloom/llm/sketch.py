@@ -14,10 +14,12 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import aside, table, text_or_empty
 
 K = 256
 WIDTH = 5
+#: Bytes by which texts are weighed for being dealt.
+PORTION = 4096
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -95,20 +97,34 @@ def _bucket(value: Column, splits: list[int]) -> Column:
     return F.least(block * step + F.size(F.filter(F.coalesce(F.get(fine, block), F.array().cast("array<bigint>")), lambda s: s < value)), F.lit(len(splits)))
 
 
+def dealt_apart(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n shuffle partitions that goes there by its hash, so that as many ranges don't meet by chance."""
+    number = F.col("id").cast("int")
+    found = dict(spark.range(32 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("at")).agg(F.min(number)).collect())
+    return [found.get(i, -1 - i) for i in range(n)]
+
+
 def with_next(docs: DataFrame, add: dict[str, Column], following: dict[str, str], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds to each document the text of the next one in descending doc_id (`next_text`; after the last: the first).
 
     `add` are columns computed from a row with its next text; `following` maps new names to columns whose
-    value in the next row they take. Documents are dealt by ranges of doc_id, in one shuffle of the texts: each
-    range gets, besides its own, a copy of the first row of the range that follows. The ranges' ends and first rows
-    are the only values brought to the driver or broadcast, as many as there are shuffle partitions. Ties in doc_id
-    are ordered by text, and null doc_ids come last.
+    value in the next row they take. Documents are dealt by ranges of doc_id of about as many bytes each, in one shuffle
+    of the texts: each range gets, besides its own, a copy of the first row of the range that follows. The ranges' ends and
+    first rows are the only values brought to the driver or broadcast, as many as there are shuffle partitions.
+
+    Ties in doc_id are ordered by text, and null doc_ids come last. Null texts are taken as they are; texts may be empty
+    or of any length; of repeated rows each is the next of the one before; an empty table gives no rows; columns pass
+    through, whatever their names, but for those added.
     """
     spark = docs.sparkSession
+    docs, back = aside(docs.drop("next_text", *add, *following), "_b", "_d", "_to", "_guest", "_first")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fractions = [i / n for i in range(1, n)]
-    ends = docs.agg(F.percentile_approx(doc, fractions, 20 * n)).head()[0] if fractions else None
+    # A text counts once for each PORTION of its bytes.
+    weighed = docs.select(doc, F.explode(F.array_repeat(F.lit(0), (F.coalesce(F.octet_length(text), F.lit(0)) / PORTION).cast("int") + 1)))
+    ends = weighed.agg(F.percentile_approx(doc, fractions, 20 * n)).head()[0] if fractions else None
     splits = sorted(set(ends or []))
+    keys = dealt_apart(spark, n)
     own = F.when(F.col(doc).isNull(), F.lit(0)).otherwise(_bucket(F.col(doc), splits))
     firsts = sorted((r[0], r[1]) for r in docs.select(doc, own.alias("_b")).groupBy("_b").agg(F.max(doc)).collect())
     assert bisect_left(splits, 1 << 63) == len(splits)
@@ -117,10 +133,10 @@ def with_next(docs: DataFrame, add: dict[str, Column], following: dict[str, str]
     dealt = docs.join(F.broadcast(guests), F.col(doc).eqNullSafe(F.col("_first")), "left").drop("_first")
     mine = F.struct(own.alias("b"), F.lit(False).alias("guest"))
     dealt = dealt.withColumn("_d", F.explode(F.when(F.col("_to").isNull(), F.array(mine)).otherwise(F.array(mine, F.struct(F.col("_to").alias("b"), F.lit(True).alias("guest"))))))
-    dealt = dealt.withColumns({"_b": F.col("_d.b"), "_guest": F.col("_d.guest")}).drop("_d", "_to")
+    dealt = dealt.withColumns({"_b": F.element_at(F.array(*map(F.lit, keys)), F.col("_d.b") + 1), "_guest": F.col("_d.guest")}).drop("_d", "_to")
     order = Window.partitionBy("_b").orderBy("_guest", F.col(doc).desc_nulls_last(), text)
     dealt = dealt.withColumn("next_text", F.lead(text).over(order)).withColumns(add)
-    return dealt.withColumns({k: F.lead(v).over(order) for k, v in following.items()}).where(~F.col("_guest")).drop("_b", "_guest")
+    return back(dealt.withColumns({k: F.lead(v).over(order) for k, v in following.items()}).where(~F.col("_guest")).drop("_b", "_guest"))
 
 
 def edited(text: Column, following: Column) -> Column:
