@@ -7,7 +7,7 @@ one key (user, device or location) in the log's total order; `seq` is a row's po
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,8 +51,7 @@ SLICE = 21_600
 class Found:
     """Alerts, with the bounds of their evidence, and the rows that can be evidence.
 
-    An alert's evidence is the rows of its key and group from (lo_ts, lo_seq) on, as far as these are given, up to its own seq; or
-    just those that `only` lists as (timestamp, seq).
+    An alert's evidence is the rows of its key and group from (lo_ts, lo_seq) on, as far as these are given, up to its own seq.
     """
 
     alerts: DataFrame
@@ -199,32 +198,46 @@ def silence_burst(recs: DataFrame, p: Params) -> Found:
     return Found(_bounded(hit, F.col("_all") - F.col("_base"), lo_seq=F.col("_seq") - 1, lo_ts=F.col("_from")), rows)
 
 
-def slow_brute_force(recs: DataFrame, p: Params) -> Found:
-    """A greedy queue of spaced failures, folded over each user's failed logins in order; no window can say it."""
-    rows = _keyed(with_seq(recs, "user").where(_is("FAILED_LOGIN")), "user")
-    item = "struct<ts:bigint,seq:bigint>"
-    folded = rows.groupBy("key").agg(F.expr("array_sort(collect_list(struct(seq, timestamp)))").alias("all"))
-    folded = folded.withColumn("all", F.transform("all", lambda x: F.struct(x["timestamp"].alias("ts"), x["seq"].alias("seq"))))
+def _spaced(gap: int) -> Callable[[Iterator], Iterator]:
+    """Marks rows (key, seq, timestamp), sorted, that lie at least `gap` after the last marked one of their key. Holds one key's last mark, not its rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    def step(acc: Column, x: Column) -> Column:
-        left = F.filter(acc["w"], lambda y: x["ts"] - y["ts"] <= F.lit(p.windowSec))
+        key, last = None, None
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            numbers, times, taken = codes.indices.to_numpy(), batch.column(2).to_numpy(), np.zeros(batch.num_rows, bool)
+            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                name = codes.dictionary[int(numbers[start])].as_py()
+                at = start if name != key else start + np.searchsorted(times[start:end] - last, gap)
+                key = name
+                while at < end:
+                    taken[at], last = True, times[at]
+                    at += np.searchsorted(times[at:end] - last, max(gap, 0)) if gap > 0 else 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken)], names=["key", "seq", "taken"])
 
-        def queued(left: Column) -> Column:
-            takes = (F.size(left) == 0) | (x["ts"] - F.get(left, F.size(left) - 1)["ts"] >= F.lit(p.minSpacingSec))
-            return F.struct((acc["rep"] & (F.size(left) >= p.n)).alias("rep"), F.when(takes, F.concat(left, F.array(x))).otherwise(left).alias("w"))
+    return run
 
-        def fired(s: Column) -> Column:
-            full = F.size(s["w"]) >= p.n
-            alert = F.struct(x["seq"].alias("seq"), s["w"].alias("w"))
-            return F.struct(s["w"].alias("w"), (s["rep"] | full).alias("rep"), F.when(~s["rep"] & full, F.concat(acc["out"], F.array(alert))).otherwise(acc["out"]).alias("out"))
 
-        return F.get(F.transform(F.transform(F.array(left), queued), fired), 0)
+def slow_brute_force(recs: DataFrame, p: Params) -> Found:
+    """A queue of spaced failures: one is taken if the last taken one is far enough back, or out of the window so that the queue is empty.
 
-    empty = F.expr(f"named_struct('w', cast(array() as array<{item}>), 'rep', false, 'out', cast(array() as array<struct<seq:bigint,w:array<{item}>>>))")
-    fires = folded.select("key", F.explode(F.aggregate("all", empty, step, lambda a: a["out"])).alias("_f")).select("key", F.col("_f.seq").alias("seq"), F.col("_f.w").alias("_w"))
-    hit = rows.join(fires, ["key", "seq"]).withColumnRenamed("_w", "only")
-    first = F.get("only", F.lit(0))
-    return Found(_bounded(hit, F.size("only"), lo_seq=first["seq"], lo_ts=first["ts"]), rows)
+    Which are taken depends on the one taken before, which no window can say, so that is marked in a pass over the sorted rows. The
+    queue is what is taken in a row's window. It alerts when full, unless it was full at the row before and enough of it
+    is left. Only a taken row can make it full.
+    """
+    rows = _keyed(with_seq(recs, "user").where(_is("FAILED_LOGIN")), "user")
+    narrow = rows.select("key", "seq", "timestamp").repartition("key").sortWithinPartitions("key", "seq")
+    taken = narrow.mapInArrow(_spaced(min(p.minSpacingSec, p.windowSec + 1)), "key string, seq long, taken boolean")
+    rows = rows.join(taken, ["key", "seq"])
+    counted = sliding(rows, "key", p.windowSec, {"_n": F.col("taken").cast("long")})
+    before = F.lag("_n").over(by_seq("key"))
+    left = F.col("_n") - F.col("taken").cast("long")
+    hit = counted.withColumn("_hit", (F.col("_n") >= p.n) & ~F.coalesce((before >= p.n) & (left >= p.n), F.lit(False))).where("_hit")
+    return Found(_bounded(hit, F.col("_n"), lo_ts=F.col("timestamp") - p.windowSec), rows.where("taken"))
 
 
 def machine_speed(recs: DataFrame, p: Params) -> Found:

@@ -41,20 +41,14 @@ def _merged(log: DataFrame, kind: str, params: Params, with_records: bool) -> Da
     own = F.struct("event_type", *ANCHOR, "timestamp", "cnt")
     if found.rows is None:
         return found.alerts.select(*names, F.col("timestamp").alias("start"), F.col("timestamp").alias("end"), F.lit(1).cast("long").alias("n_records"), F.array(own).alias("records"))
-    listed = "only" in found.alerts.columns
-    if listed:
-        placed = found.alerts.select(*names, "only", F.size("only").cast("long").alias("n_records"), F.col("lo_ts").alias("_from"))
-        place = F.explode(F.transform("only", lambda y: y["seq"]))
-        rows = found.rows.withColumn("_place", F.col("seq"))
-    else:
-        placed = _placed(found, names).withColumn("n_records", F.col("_lo") - F.col("_hi"))
-        place = F.explode(F.when(F.col("_lo") > F.col("_hi"), F.sequence(F.col("_hi") + 1, F.col("_lo"))))
-        rows = found.rows.withColumn("_place", F.row_number().over(Window.partitionBy("key", "grp").orderBy(F.desc("timestamp"), F.desc("seq"))).cast("long"))
+    placed = _placed(found, names).withColumn("n_records", F.col("_lo") - F.col("_hi"))
+    place = F.explode(F.when(F.col("_lo") > F.col("_hi"), F.sequence(F.col("_hi") + 1, F.col("_lo"))))
+    rows = found.rows.withColumn("_place", F.row_number().over(Window.partitionBy("key", "grp").orderBy(F.desc("timestamp"), F.desc("seq"))).cast("long"))
     placed = placed.withColumns({"start": F.least("timestamp", "_from"), "end": F.col("timestamp")})
     if not with_records:
         return placed
     # Each alert asks for its rows by their places, so the join has as many rows as the evidence.
-    asked = placed.select(*[F.col(c) for c in placed.columns if c != "only"], place.alias("_place"))
+    asked = placed.select(*placed.columns, place.alias("_place"))
     given = rows.select("key", "grp", "_place", "seq", own.alias("_row"))
     kept = [c for c in asked.columns if c != "_place"]
     grouped = asked.join(given, ["key", "grp", "_place"]).groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("seq", "_row"))).alias("_rows"))
