@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -15,8 +17,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, unless PYTHONPATH is set for them."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Lets Python workers import this package: from the driver's folder on one machine, else from an archive that Spark hands out."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    elif getattr(context, "_corpus_archive", None) is None:
+        context._corpus_archive = archived(spark)
+        context.addPyFile(context._corpus_archive)
+
+
+def archived(spark: SparkSession) -> str:
+    """This package as an archive in the shared folder, from where executors can import it."""
+    top = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for path in sorted(top.rglob("*.py")):
+            archive.write(path, path.relative_to(top.parent))
+    name = f"{shared_dir(spark)}/{top.name}-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    files.deleteOnExit(path)
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

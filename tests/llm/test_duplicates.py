@@ -60,7 +60,7 @@ def test_simhash_index_at_all_distances(spark, docs):
     """Lists of all sizes down to those split to half bytes give the components of brute force."""
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 62, 3)
-    for distance, largest in ((1, 5), (3, 3), (4, 1024), (4, 12), (7, 20)):
+    for distance, largest in ((3, 3), (4, 12), (7, 20)):
         values = sorted({int(base[r.integers(3)]) ^ sum(1 << int(b) for b in r.choice(62, r.integers(distance + 2), replace=False)) for _ in range(120)})
         want = roots(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= distance)
         edges = {(values.index(x.a), values.index(x.b)) for x in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), distance, largest).collect()}

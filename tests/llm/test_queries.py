@@ -168,3 +168,15 @@ def test_columns_with_names_that_operators_use(spark, docs):
     for out in outs:
         assert set(own) <= set(out.columns)
         assert all(x[c] == f"{c}{-1 if x.doc_id is None else x.doc_id}" for x in out.collect() for c in own)
+
+
+def test_archive_for_executors(spark, tmp_path):
+    """The package is whole in the archive that executors of a cluster get."""
+    import subprocess
+    import sys
+
+    from accessloom.llm.common import archived
+
+    place = archived(spark).removeprefix("file:")
+    found = subprocess.run([sys.executable, "-c", "import accessloom.llm.chains as c; print(c.__file__)"], env={"PYTHONPATH": place, "PATH": "/usr/bin:/bin"}, cwd=tmp_path, capture_output=True, text=True)
+    assert place in found.stdout, found.stderr
