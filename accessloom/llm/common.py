@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,5 +101,12 @@ def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame],
     return df.withColumnsRenamed(new), lambda out: out.withColumnsRenamed({v: k for k, v in new.items()})
 
 
+def give_back() -> None:
+    """Returns memory that this worker's allocators hold for later to the machine: it may idle while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

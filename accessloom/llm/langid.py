@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 #: Labelled rows of a language that are learned, and the characters up to which a row is taken.
-DOCS, LONGEST = 40, 4096
+DOCS, LONGEST = 16, 4096
 #: Bits a letter from which on a text is in none of the languages, and letters from which on that can be told.
 FOREIGN, LETTERS = 9.0, 40
 UNKNOWN = "und"
@@ -170,6 +170,10 @@ def identify(docs: DataFrame, learned: tuple[tuple[str, tuple[str, ...]], ...],
             found = [model.judged(t.as_py() or "") for t in batch.column(at_text)]
             columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [()] * 4, (pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *added])
+        # A worker goes on to other stages. Building again takes less than a second, keeping takes memory from those.
+        del model
+        model_of.cache_clear()
+        give_back()
 
     return kept.mapInArrow(run, schema)
 

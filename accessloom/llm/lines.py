@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, cut, table, written
+from .common import aside, cut, give_back, table, written
 
 #: Words from which lines are compared within one edit; in shorter ones one edit changes more than a fifth.
 LEAST = 5
@@ -81,6 +81,7 @@ def _hashed(batches: Iterator[pa.RecordBatch], least: int, texts: bool) -> Itera
                             column.append(value)
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.string() if texts else pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h1", "h2", *PLACE, "words" if texts else "halves"])
+    give_back()
 
 
 def _place() -> F.Column:
@@ -99,6 +100,7 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     places.append(place)
                     ranks.append(rank)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(ranks, pa.int64())], names=["key", "out", "rank"])
+    give_back()
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +193,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
                 columns = [*batch.columns[:-1], pa.array(lines, pa.int32()), pa.array(gone, pa.int32())]
                 columns[at] = pa.array(texts, batch.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_dropped"])
+        give_back()
 
     return back(joined.mapInArrow(run, schema))
 
