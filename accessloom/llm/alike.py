@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cut, give_back, written
 from .components import components
 from .groups import run_bounds, whole_runs
 
@@ -106,6 +106,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: in
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests), pa.array(np.array(list(map(len, sets)), np.int32)), lists, pa.array(map(quarter, sets), pa.binary())], names=["_doc_", "_hash_", "set", "n", "keys", "some"])
+    give_back()
 
 
 def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -141,19 +142,36 @@ def _listed(batches: Iterator[pa.RecordBatch], small: int, similarity: tuple[int
         yield pa.RecordBatch.from_arrays([pad(key, pa.int64()), pa.concat_arrays([pa.array(np.minimum(a, b)), pa.array(node[c])]), pa.concat_arrays([pa.array(np.maximum(a, b)), pa.nulls(len(c), pa.int64())]), pad(n, pa.int32()), pad(at, pa.int32())], names=NAMES)
 
 
+def _signatures(quarters: list[bytes]) -> np.ndarray:
+    """256 bits of each quarter, of which one is set for each of its shingles."""
+    out = np.zeros((len(quarters), 4), np.uint64)
+    for row, quarter in zip(out, quarters, strict=True):
+        bits = np.frombuffer(quarter, np.uint16).astype(np.int64) & 255
+        np.bitwise_or.at(row, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
+    return out
+
+
+def _lacking(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For all pairs of signatures: bits of a that b lacks, so at least as many shingles that it lacks."""
+    return sum(np.bitwise_count(a[:, w, None] & ~b[None, :, w]).astype(np.int64) for w in range(4))
+
+
 def _apart(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each large list whose members aren't connected yet."""
+    """The pairs of each large list that aren't connected yet and that their signatures don't rule out: few but alike ones."""
     for rows in whole_runs(batches):
         key, node, n, at, part = (rows.column(i).to_numpy() for i in range(5))
         n, at = n.astype(np.int64), at.astype(np.int64)
+        signs = _signatures(rows.column(5).to_pylist())
         for start, length in zip(*(x.tolist() for x in run_bounds(key)), strict=True):
             here = slice(start, start + length)
-            d, s, p, c = node[here], n[here], at[here], part[here]
+            d, s, p, c, sign = node[here], n[here], at[here], part[here], signs[here]
             if (c == c[0]).all():
                 continue
             for i in range(0, length, 128):
                 row = slice(i, i + 128)
                 pairs = (c[row, None] != c[None, :]) & (d[row, None] < d[None, :]) & _possible(s[row, None], p[row, None], s[None, :], p[None, :], similarity)
+                if pairs.any():
+                    pairs &= alike(np.minimum(s[row, None] - _lacking(sign[row], sign), s[None, :] - _lacking(sign, sign[row]).T), s[row, None], s[None, :], similarity)
                 x, y = np.nonzero(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(d[row][x]), pa.array(d[y])], names=["a", "b"])
 
@@ -184,6 +202,7 @@ def links(named: DataFrame, distinct: DataFrame, text: str, width: int, similari
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py() or "", width).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
+            give_back()
 
         spelled = named.join(asked.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_d")) & (F.col("_hash_") == F.col("_t"))).select("node", F.col(text).alias("_text_"))
         sets = written(spelled.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
@@ -195,6 +214,9 @@ def links(named: DataFrame, distinct: DataFrame, text: str, width: int, similari
     if not crowded.isEmpty():
         members = components(edges)
         labelled = crowded.join(members, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+        # Lists that are connected throughout have nothing left to find.
+        open_lists = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
+        labelled = labelled.join(cut(open_lists), "key", "left_semi").join(distinct.select("node", "some"), "node").select("key", "node", "n", "at", "part", "some")
         rest = labelled.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: _apart(b, similarity), "a long, b long")
         edges = edges.union(verified(rest))
     return edges
