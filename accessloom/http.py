@@ -38,7 +38,7 @@ def _range(q: dict[str, str]) -> tuple[int, int]:
 
 
 def _rows(frame) -> list[dict]:
-    return [r.asDict() for r in frame.collect()]
+    return [r.asDict() for r in frame.toLocalIterator()]
 
 
 def _renamed(rows: list[dict]) -> list[dict]:
