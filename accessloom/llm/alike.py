@@ -157,23 +157,29 @@ def _lacking(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _apart(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each large list that aren't connected yet and that their signatures don't rule out: few but alike ones."""
+    """Links that connect what is alike in each large list and isn't connected yet: a spanning forest, found on the whole sets."""
     for rows in whole_runs(batches):
         key, node, n, at, part = (rows.column(i).to_numpy() for i in range(5))
         n, at = n.astype(np.int64), at.astype(np.int64)
-        signs = _signatures(rows.column(5).to_pylist())
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column(5).to_pylist()]
+        signs = _signatures([quarter(x) for x in sets])
+        a, b = [], []
         for start, length in zip(*(x.tolist() for x in run_bounds(key)), strict=True):
             here = slice(start, start + length)
-            d, s, p, c, sign = node[here], n[here], at[here], part[here], signs[here]
-            if (c == c[0]).all():
-                continue
-            for i in range(0, length, 128):
-                row = slice(i, i + 128)
-                pairs = (c[row, None] != c[None, :]) & (d[row, None] < d[None, :]) & _possible(s[row, None], p[row, None], s[None, :], p[None, :], similarity)
-                if pairs.any():
-                    pairs &= alike(np.minimum(s[row, None] - _lacking(sign[row], sign), s[None, :] - _lacking(sign, sign[row]).T), s[row, None], s[None, :], similarity)
-                x, y = np.nonzero(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(d[row][x]), pa.array(d[y])], names=["a", "b"])
+            s, p, c, sign = n[here], at[here], part[here].copy(), signs[here]
+            for i in range(length - 1):
+                later = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
+                later = later[_possible(s[i], p[i], s[later], p[later], similarity)]
+                if not len(later):
+                    continue
+                least = np.minimum(s[i] - _lacking(sign[i : i + 1], sign[later])[0], s[later] - _lacking(sign[later], sign[i : i + 1])[:, 0])
+                for k in later[alike(least, s[i], s[later], similarity)].tolist():
+                    one, two = sets[start + i], sets[start + k]
+                    if c[k] != c[i] and alike(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two), similarity):
+                        a.append(node[start + i])
+                        b.append(node[start + k])
+                        c[c == c[k]] = c[i]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +198,9 @@ def links(named: DataFrame, distinct: DataFrame, text: str, width: int, similari
     listed = postings.repartition(parts, "key").sortWithinPartitions("key")
     met = written(listed.mapInArrow(lambda b: _listed(b, small, similarity), CANDIDATES), "listed")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = (distinct.select(F.col("node").alias(x), F.col("n").alias(n), F.col("some").alias(some)) for x, n, some in (("a", "n", "one"), ("b", "m", "two")))
-        pairs = written(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n", "m", "one", "two").mapInArrow(lambda b: _hopeful(b, similarity), "a long, b long"), "candidates")
-        asked = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first._doc_").alias("_d"), F.col("first._hash_").alias("_t"))
+    def spelled(nodes: DataFrame) -> DataFrame:
+        """The whole sets of some nodes."""
+        asked = distinct.join(nodes, "node").select("node", F.col("first._doc_").alias("_d"), F.col("first._hash_").alias("_t"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -204,8 +209,13 @@ def links(named: DataFrame, distinct: DataFrame, text: str, width: int, similari
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py() or "", width).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
             give_back()
 
-        spelled = named.join(asked.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_d")) & (F.col("_hash_") == F.col("_t"))).select("node", F.col(text).alias("_text_"))
-        sets = written(spelled.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+        found = named.join(asked.hint("shuffle_hash"), F.col("_doc_").eqNullSafe(F.col("_d")) & (F.col("_hash_") == F.col("_t"))).select("node", F.col(text).alias("_text_"))
+        return written(found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = (distinct.select(F.col("node").alias(x), F.col("n").alias(n), F.col("some").alias(some)) for x, n, some in (("a", "n", "one"), ("b", "m", "two")))
+        pairs = written(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n", "m", "one", "two").mapInArrow(lambda b: _hopeful(b, similarity), "a long, b long"), "candidates")
+        sets = spelled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
         return written(both.select("a", "b", "one", "two").mapInArrow(lambda b: _verified(b, similarity), "a long, b long"), "links")
 
@@ -216,9 +226,10 @@ def links(named: DataFrame, distinct: DataFrame, text: str, width: int, similari
         labelled = crowded.join(members, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
         # Lists that are connected throughout have nothing left to find.
         open_lists = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-        labelled = labelled.join(cut(open_lists), "key", "left_semi").join(distinct.select("node", "some"), "node").select("key", "node", "n", "at", "part", "some")
+        labelled = written(labelled.join(cut(open_lists), "key", "left_semi"), "open")
+        labelled = labelled.join(spelled(labelled.select("node").distinct()), "node").select("key", "node", "n", "at", "part", "shingles")
         rest = labelled.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: _apart(b, similarity), "a long, b long")
-        edges = edges.union(verified(rest))
+        edges = edges.union(written(rest, "links"))
     return edges
 
 
