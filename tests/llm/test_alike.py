@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as pipeline
+import numpy as np
 from conftest import prose
 from pyspark.sql import functions as F
 from test_duplicates import plain_fingerprint, roots
@@ -47,3 +48,27 @@ def test_rows_without_documents(docs, none):
     assert simhash.keep_one(none, width=5, similarity=(4, 5)).count() == 0
     kept = simhash.keep_one(docs, width=5, similarity=(4, 5))
     assert kept.columns == docs.columns and sum(x.text is None or not x.text.split() for x in kept.collect()) == 1
+
+
+def test_large_lists_of_unlike_sets(spark, docs, monkeypatch):
+    """Texts that only share a phrase meet in large lists, where no whole set is asked for; crowds of hopeful ones give members, not pairs."""
+    r = random.Random(8)
+    phrase = prose(r, 8)
+    unlike = [f"{phrase} {prose(r, 12)} {prose(r, 3)}" for _ in range(60)]
+    base = prose(r, 60).split()
+    hopeful = [" ".join("x" + str(r.randrange(10**6)) if at in spots else w for at, w in enumerate(base)) for spots in (set(r.sample(range(60), 3)) for _ in range(60))]
+    real, spelled = alike.written, {}
+    monkeypatch.setattr(alike, "written", lambda df, label: spelled.setdefault(label, []).append(real(df, label)) or spelled[label][-1])
+    monkeypatch.setattr(alike, "_counts", lambda *a: np.zeros(1 << alike.COUNTERS, np.uint32))
+    for texts, small in ((unlike, 2), (hopeful, 1)):
+        spelled.clear()
+        sets = [shingles(t) for t in texts]
+        want = roots(len(texts), lambda i, j, sets=sets: similarity(sets[i], sets[j]) >= 0.8)
+        rows = spark.createDataFrame([(i, t, None, None, 0, "", "") for i, t in enumerate(texts)], docs.schema)
+        named = rows.withColumn("_hash_", F.xxhash64("text")).withColumn("_doc_", F.col("doc_id"))
+        first = alike.classes(rows, named, small=small).collect()
+        assert sorted(x["first"]["_doc_"] for x in first) == sorted(set(want))
+        if texts is unlike:
+            assert sum(x.where("b IS NULL").count() for x in spelled["listed"]) > 2 and not sum(x.count() for x in spelled["sets"])
+        else:
+            assert sum(x.where("b IS NULL").count() for x in spelled["sifted"])
