@@ -50,6 +50,18 @@ def test_rows_without_documents(docs, none):
     assert kept.columns == docs.columns and sum(x.text is None or not x.text.split() for x in kept.collect()) == 1
 
 
+def test_simhash_links_come_first(spark, docs, monkeypatch):
+    """Operator 1's links are verified on the sets; without the index of prefixes they alone connect near copies within its distance."""
+    base = prose(random.Random(3), 400).split()
+    texts = [" ".join([*base[:at], "changed", *base[at + 1 :]]) for at in (0, 399)] + [" ".join(base), " ".join(base), prose(random.Random(4), 300)]
+    rows = spark.createDataFrame([(i, t, None, None, 0, "", "") for i, t in enumerate(texts)], docs.schema)
+    real, asked = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda distinct, distance, **more: asked.append(distance) or real(distinct, distance, **more))
+    monkeypatch.setattr(alike, "_listed", lambda batches, small, similarity: iter(()))
+    kept = simhash.keep_one(rows, width=5, similarity=(4, 5)).collect()
+    assert asked == [simhash.DISTANCE] and sorted(x.doc_id for x in kept) == [0, 4]
+
+
 def test_large_lists_of_unlike_sets(spark, docs, monkeypatch):
     """Texts that only share a phrase meet in large lists, where no whole set is asked for; crowds of hopeful ones give members, not pairs."""
     r = random.Random(8)
