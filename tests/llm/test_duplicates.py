@@ -4,7 +4,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from conftest import prose
 
 from accessloom.llm import chains, lines, pivots, simhash
 from accessloom.llm.components import components
@@ -265,3 +267,16 @@ def test_chain_finds_best_predecessors():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert chains.agreeing(a, b) == table[-1][-1]
+
+
+def test_only_lines_asked_for_are_spelled(spark, docs):
+    """The sieve lets every line through that is asked for, and few others."""
+    r = random.Random(23)
+    texts = [prose(r, 9) for _ in range(2000)]
+    hashes = [lines._wide(t) for t in texts]
+    asked = spark.createDataFrame([(h,) for h, _ in hashes[:100]], "h1 long")
+    sieve = lines._sieve(asked)
+    batch = pa.RecordBatch.from_pylist([{"doc": i, "text_hash": 0, "text": t} for i, t in enumerate(texts)])
+    found = {x["doc"]: (x["h1"], x["h2"], x["words"]) for b in lines._hashed(iter([batch]), 5, sieve) for x in b.to_pylist()}
+    assert all(found[i] == (*hashes[i], texts[i]) for i in range(100)) and len(found) < 100 + 1900 / 8
+    assert not [x for b in lines._hashed(iter([batch]), 5, lines._sieve(asked.limit(0))) for x in b.to_pylist()]
