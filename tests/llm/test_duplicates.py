@@ -280,3 +280,24 @@ def test_only_lines_asked_for_are_spelled(spark, docs):
     found = {x["doc"]: (x["h1"], x["h2"], x["words"]) for b in lines._hashed(iter([batch]), 5, sieve) for x in b.to_pylist()}
     assert all(found[i] == (*hashes[i], texts[i]) for i in range(100)) and len(found) < 100 + 1900 / 8
     assert not [x for b in lines._hashed(iter([batch]), 5, lines._sieve(asked.limit(0))) for x in b.to_pylist()]
+
+
+def test_passages_behind_scattered_parts(spark, docs, monkeypatch):
+    """A passage is met though the first occurrences of its seeds, in the same block or text or elsewhere, are parts too short for one."""
+    r = random.Random(31)
+    base = prose(r, 100).split()
+    late = prose(r, 5).split() + ["other" if i % 20 == 10 else w for i, w in enumerate(base)]
+    # Every seed's window of the late text lies in one of these parts, in its own surroundings; no part has forty words.
+    parts = [" ".join(late[i : i + 37]) for i in range(80, -1, -20)]
+    scattered = " ".join(f"{p} {prose(r, 8)}" for p in parts)
+    passage, late, filler = " ".join(base), " ".join(late), lambda n: prose(r, n)
+    cases = {
+        "block": (60, [f"{filler(600)} {passage}", scattered, late], (2, 0)),
+        "text": (1 << 20, [f"{passage} {filler(20)}", f"{scattered} {filler(30)} {late}"], (1, 0)),
+        "other texts": (1 << 20, [*(f"{filler(9)} {p} {filler(9)}" for p in parts), f"{passage} {filler(20)}", late], (6, 5)),
+    }
+    for name, (block, texts, pair) in cases.items():
+        monkeypatch.setattr(chains, "BLOCK", block)
+        frame = spark.createDataFrame([(i, t, None, None, 0, "", "") for i, t in enumerate(texts)], docs.schema).coalesce(1)
+        found = {(x.doc_id, x.first_doc_id): x for x in sorted(chains.passages(frame).collect(), key=lambda x: x.end - x.start)}
+        assert pair in found and found[pair].end - found[pair].start >= 80, (name, sorted(found))
