@@ -1,6 +1,7 @@
 """The registered queries as they are registered: columns, digests and forms, held against brute force over a small table."""
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -8,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from conftest import prose
 from test_duplicates import plain_fingerprint, plain_lines, roots
 from test_texts import SECRET, alike, plain_spans, shingles
@@ -52,6 +54,20 @@ def test_simhash_query(tables, asked):
     assert by_repr((x["doc_id"], x["fingerprint"], x["component_id"]) for x in asked("op1_simhash")) == by_repr((r[0], f"{p:016x}", least[g]) for r, p, g in zip(rows, prints, group, strict=True))
 
 
+def test_simhash_query_takes_bytes_that_are_not_utf8(spark, tmp_path):
+    """Spark's strings may hold any bytes: each row still gets its fingerprint, of the bytes, and links like any other."""
+    ship(spark)
+    texts = [b"One two\xff three four FIVE", b"one two\xff\tthree four five", b"\xed\xa0\x80 x", b"\xc3", b"\xc0\x80 \xa0", b"plain words", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text binary")
+    found.selectExpr("doc_id", "cast(text as string) text").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", t or b"")]
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[j : j + 4]), 42) for j in range(max(1, len(words) - 3))] if words else []
+        want.append((i, f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)):016x}", 0 if i < 2 else i))
+    assert sorted(map(tuple, queries.queries()["op1_simhash"](spark, str(tmp_path)).collect())) == want
+
+
 def test_embeddings_query(tables, asked):
     rows = tables[2]
     unit = [None if v is None or not any(v) or label is None else np.array(v) / np.linalg.norm(v) for _, v, label in rows]
